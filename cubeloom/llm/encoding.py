@@ -16,8 +16,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: White space other than space and newline, or a space between two white spaces.
-_UNSURE = re.compile(r"[^\S \n]|\s (?:\s|\Z)|[\x1c-\x1f]")
+#: White space other than space and newline.
+_UNSURE = re.compile(r"[^\S \n]")
 _ENCODERS: dict[tuple[str, int], ChunkEncoder] = {}
 
 
@@ -31,7 +31,7 @@ def vocabulary_path(name: str) -> str:
 class ChunkEncoder:
     """Encodes whole texts to little-endian uint32 bytes.
 
-    ``max_chunks`` bounds the memory: beyond it the remembered chunks are forgotten all at once.
+    ``max_chunks`` bounds the memory: of that many the ones not met again since are forgotten.
     Chunks of over 64 characters are never remembered.
     """
 
@@ -42,6 +42,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(vocabulary_path(name))
         self.tokenizer.model._resize_cache(0)  # the chunks are remembered here instead
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.max_chunks = max_chunks
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -55,41 +56,41 @@ class ChunkEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _size(self, chunk: str) -> int:
-        """Bytes that the ids of a chunk stand for."""
-        if not self.drops_space:
-            return len(chunk.encode()) + (chunk[0] != "\n")
-        if chunk.isascii():
-            return len(chunk)
-        return len(unicodedata.normalize("NFC", chunk).lower().encode())
-
     def _cut(self, text: str) -> list[str] | None:
         """The first chunk, then those that follow a space, or a run of newlines that they begin with."""
-        if _UNSURE.search(text) or any(s in text for s in self.specials):
+        if any(s in text for s in self.specials):
             return None
         if self.drops_space:
             return text.replace("\n", " ").split(" ")
         text = text.replace("\n", " \n")
         return (text.replace("\n \n", "\n\n").replace("\n \n", "\n\n") if "\n \n" in text else text).split(" ")
 
-    def _spaced(self, chunk: str) -> str:
-        return chunk if chunk[:1] == "\n" else " " + chunk
+    def _sizes(self, spaced: list[str]) -> np.ndarray:
+        """Bytes that the ids of each chunk stand for."""
+        if self.drops_space:
+            spaced = [(c if c.isascii() else unicodedata.normalize("NFC", c).lower())[1:] for c in spaced]
+        return np.fromiter(map(len, map(str.encode, spaced)), np.int64, len(spaced))
 
     def _learn(self, chunks: list[str]) -> None:
         if len(self.known) + len(chunks) > self.max_chunks:
-            self.known.clear()
-        plain = [c for c in chunks if c and c[-1] != "\n"]
-        if plain:
-            ids = np.array(self.tokenizer.encode("".join(map(self._spaced, plain)), add_special_tokens=False).ids, "<u4")
-            ends = np.cumsum(np.fromiter(map(self._size, plain), np.int64, len(plain)))
+            self.known, self.older = {}, self.known
+        again = {c: self.older[c] for c in chunks if c in self.older}
+        self.known |= again
+        chunks = [c for c in chunks if c not in again]
+        if not self.drops_space:  # a chunk that is or holds a run of white space depends on its neighbours
+            chunks = [c for c in chunks if c and c[-1] != "\n" and not _UNSURE.search(c)]
+        for at in range(0, len(chunks), 500):
+            plain = chunks[at : at + 500]
+            spaced = [c if c[:1] == "\n" else " " + c for c in plain]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(self._sizes(spaced))
             sums = np.cumsum(self.n_bytes[ids])
-            at = np.searchsorted(sums, ends)
-            if len(ids) and sums[-1] == ends[-1] and (sums[at] == ends).all():
-                raw, stops = ids.tobytes(), ((at + 1) * 4).tolist()
+            stops = np.searchsorted(sums, ends, side="right")
+            if len(ids) and sums[-1] == ends[-1] and (sums[stops - 1] == ends)[stops > 0].all():
+                raw, stops = ids.tobytes(), (stops * 4).tolist()
                 self.known.update(zip(plain, map(raw.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
-        for c in chunks:
-            if c not in self.known:
-                self.known[c] = self._whole(self._spaced(c))
+            else:
+                self.known.update(zip(plain, map(self._whole, spaced), strict=True))
 
     def encode(self, text: str) -> bytes:
         """The ids of one whole text."""
@@ -111,20 +112,28 @@ class ChunkEncoder:
         cuts = [self._cut(text) for text in texts]
         unknown: set[str] = set()
         for chunks in cuts:
-            unknown.update(chunks[1:] if chunks else ())
-        unknown = {c for c in unknown if c not in self.known}
+            unknown.update(set(chunks or ()).difference(self.known))
         self._learn([c for c in unknown if len(c) <= 64])
-        own = {c: self._whole(self._spaced(c)) for c in unknown if len(c) > 64}
         for text, chunks in zip(texts, cuts, strict=True):
             if chunks is None:
                 yield self._whole(text)
                 continue
             parts = list(map(self.known.get, chunks))
             parts[0] = self._whole(chunks[0])
-            while None in parts:  # too long to be remembered, or forgotten meanwhile
-                i = parts.index(None)
-                parts[i] = own.get(chunks[i]) or self._whole(self._spaced(chunks[i]))
-            yield b"".join(parts)
+            if None in parts and self._unsure(chunks, parts):
+                yield self._whole(text)
+            else:
+                yield b"".join(parts)
+
+    def _unsure(self, chunks: list[str], parts: list[bytes | None]) -> bool:
+        """Fill in the chunks too long to be remembered, or forgotten meanwhile; true if a cut is not certain."""
+        for i, part in enumerate(parts):
+            if part is None:
+                c = chunks[i]
+                if not self.drops_space and (not c or c[-1] == "\n" or _UNSURE.search(c)):
+                    return True
+                parts[i] = self._whole(c if c[:1] == "\n" else " " + c)
+        return not self.drops_space and bool(_UNSURE.search(chunks[0]))
 
 
 def encoder(name: str, max_chunks: int = 500_000) -> ChunkEncoder:
