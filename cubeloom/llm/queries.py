@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubeloom.llm import merkle, mixing, packing, secrets, sharding, tokenfiles, toxicity
+from cubeloom.llm import merkle, mixing, packing, partenum, secrets, sharding, tokenfiles, toxicity
 from cubeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,10 @@ def op8_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op9_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.join_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
@@ -58,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op6_poisson_mixture": op6_poisson_mixture,
     "op7_histogram_sort": op7_histogram_sort,
     "op8_secret_links": op8_secret_links,
+    "op9_partenum_join": op9_partenum_join,
     "op10_ordinal_toxicity": op10_ordinal_toxicity,
 }
 
