@@ -3,16 +3,30 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once, in case they cannot import it from where it is."""
+    if getattr(spark.sparkContext, "_cubeloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="package-")  # the driver serves the file from here until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{root.name}", "zip", root.parent, root.name))
+    spark.sparkContext._cubeloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data set, read by Spark alone: the path may be in a store that only Spark reaches."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,6 +65,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage like a reliable checkpoint: a lost executor costs no upstream work,
     and columns that a reader does not ask for are not read.
     """
+    ship(df.sparkSession)
     path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

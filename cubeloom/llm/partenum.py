@@ -10,8 +10,12 @@ of its band also emits the signatures of the next band.
 
 Signatures are then ranked by how many sets have them. Sets emit a few signatures more than
 needed, and may for that drop as many of the most frequent ones and still share one with each
-similar set: so passages that many documents have in common bring no candidates. That choice and
-the pairs below are exact; nothing is capped or left to chance but 64-bit hashes.
+similar set. Sets that share no signature now have no similar set and leave, which is most of them.
+
+For the others a second level cuts the domain into single features, where similar sets differ on one
+side in a quarter of a set's features at most: of its features, rarest first, a quarter and one
+suffice. So passages that many documents have in common bring hardly any candidates. Both levels
+and the pairs below are exact; nothing is capped or left to chance but 64-bit hashes.
 
 Only connected components are asked for, so a group of sets with a common signature is not expanded
 into pairs: all are compared with one leader, then groups whose members are not yet in one component
@@ -39,8 +43,8 @@ LOAD = 2.2
 #: Share of a set's size emitted beyond need, so that frequent signatures can be dropped.
 EXTRA = 0.06
 #: Groups up to this size are finished pair by pair, larger ones by so many leaders a round.
-SMALL_GROUP = 24
-LEADERS = 24
+SMALL_GROUP = 64
+LEADERS = 64
 #: More candidate documents than this are found by a shuffled join, not a broadcast of their ids.
 MAX_BROADCAST_IDS = 2_000_000
 
@@ -141,19 +145,39 @@ def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "members"])
 
 
+def shared(rows: DataFrame) -> DataFrame:
+    """Of rows (node, token) those whose token some other node has too, with the token's frequency."""
+    same = Window.partitionBy("token")
+    counted = rows.select("node", "token", F.count("*").over(same).alias("n"), F.min("node").over(same).alias("least"), F.max("node").over(same).alias("most"))
+    return counted.filter("least < most").select("node", "token", "n")
+
+
+def without_frequent(found: DataFrame, *by: str) -> DataFrame:
+    """Leave out each node's ``droppable`` most frequent tokens; its list is as long as its set at most."""
+    lists = found.groupBy(*by, "droppable").agg(F.sort_array(F.collect_set(F.struct("n", "token"))).alias("found"))
+    kept = lists.filter("size(found) > droppable").withColumn("f", F.explode(F.expr("slice(found, 1, size(found) - droppable)")))
+    return kept.select("node", F.col("f.token").alias("token"))
+
+
 def candidates(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(token, node): the signatures that some other set has too, without the droppable ones."""
+    """The nodes that share a signature with another, without the droppable ones: first level."""
     rows = docs.select("text").mapInArrow(_tokens, "node long, tokens array<long>").select("node", F.explode("tokens").alias("token"))
-    same = Window.partitionBy("token")
-    shared = rows.select("node", "token", F.count("*").over(same).alias("n"), F.min("node").over(same).alias("least"), F.max("node").over(same).alias("most")).filter("least < most")
-    band = F.col("token").bitwiseAND((1 << _BAND_BITS) - 1)
-    # As many elements per row as the set has signatures.
-    ranked = shared.groupBy("node", band.alias("band")).agg(F.sort_array(F.collect_set(F.struct("n", "token"))).alias("found"))
+    found = shared(rows).withColumn("band", F.col("token").bitwiseAND((1 << _BAND_BITS) - 1))
     info = nodes.select("node", "n_shingles", "drop_own", "drop_above")
     droppable = F.when(F.expr(f"pow({BAND_RATIO}, band) > n_shingles"), F.col("drop_above")).otherwise(F.col("drop_own"))
-    kept = ranked.join(info, "node").select("node", "n_shingles", F.expr("found").alias("found"), droppable.alias("droppable"))
-    kept = kept.filter("size(found) > droppable").select("node", "n_shingles", F.explode(F.expr("slice(found, 1, size(found) - droppable)")).alias("f"))
-    return kept.select("node", "n_shingles", F.col("f.token").alias("token"))
+    kept = without_frequent(found.join(info, "node").withColumn("droppable", droppable), "node", "band")
+    met = stage(kept, "met")
+    # What is left may have lost its counterpart, which dropped it.
+    return shared(met).select("node").distinct()
+
+
+def refine(members: DataFrame) -> DataFrame:
+    """(token, node, n_shingles): single features that sets have in common, the rarest that are needed: second level."""
+    size = F.size("members")
+    rows = members.select("node", F.explode("members").alias("token"))
+    found = shared(rows).join(members.select("node", (size - F.floor(size / 4) - 1).cast("int").alias("droppable")), "node")
+    met = shared(without_frequent(found, "node")).select("node", "token")
+    return met.join(members.select("node", size.alias("n_shingles")), "node").select("token", "node", "n_shingles")
 
 
 def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -222,13 +246,13 @@ def join_documents(docs: DataFrame) -> DataFrame:
     sets = stage(docs.mapInArrow(_sets, "doc_id long, n_shingles long, node long, drop_own int, drop_above int"), "sets")
     nodes = sets.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_doc"), F.max("n_shingles").alias("n_shingles"), F.max("drop_own").alias("drop_own"), F.max("drop_above").alias("drop_above"))
     nodes = stage(nodes, "nodes")
-    groups = stage(candidates(docs, nodes), "groups")
-    wanted = stage(groups.select("node").distinct().join(nodes.select("node", "least_doc"), "node"), "wanted")
+    wanted = stage(candidates(docs, nodes).join(nodes.select("node", "least_doc"), "node"), "wanted")
     ids = wanted.select(F.col("least_doc").alias("doc_id"))
     ids = F.broadcast(ids) if wanted.count() <= MAX_BROADCAST_IDS else ids
     texts = docs.join(ids, "doc_id", "left_semi").select("text").union(docs.filter("doc_id is null").select("text"))
     members = texts.mapInArrow(_members, "node long, members array<long>").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    labels = link_components(groups, stage(members, "members"))
+    members = stage(members, "members")
+    labels = link_components(stage(refine(members), "groups"), members)
     named = nodes.join(labels, "node", "left").select("node", "least_doc", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("least_doc").alias("component_id"))
     of_node = stage(named.join(least, "label").select("node", "component_id"), "named")
