@@ -17,9 +17,11 @@ side in a quarter of a set's features at most: of its features, rarest first, a
 suffice. So passages that many documents have in common bring hardly any candidates. Both levels
 and the pairs below are exact; nothing is capped or left to chance but 64-bit hashes.
 
-Only connected components are asked for, so a group of sets with a common signature is not expanded
-into pairs: all are compared with one leader, then groups whose members are not yet in one component
-go on with further leaders, or all remaining pairs once a group is small.
+Only connected components are asked for, so a group of sets with a common feature is not expanded
+into pairs. All are first compared with one leader, the one with the most in common with others, which
+joins near copies at once. Where a group's members are then in several components, small histograms of
+the sets bound each pair's similarity, block by block; only pairs that may be similar and are not yet
+in one component go on to be compared by their whole sets.
 """
 
 from __future__ import annotations
@@ -42,9 +44,12 @@ BAND_RATIO = 4
 LOAD = 2.2
 #: Share of a set's size emitted beyond need, so that frequent signatures can be dropped.
 EXTRA = 0.06
-#: Groups up to this size are finished pair by pair, larger ones by so many leaders a round.
-SMALL_GROUP = 64
-LEADERS = 64
+#: Histograms have so many counts.
+BUCKETS = 128
+#: Groups are compared in blocks of so many sets; a larger group is dealt out by pairs of blocks.
+BLOCK = 1024
+#: In the first round of block comparisons each set brings so many pairs per component and group.
+FIRST_PAIRS = 2
 #: More candidate documents than this are found by a shuffled join, not a broadcast of their ids.
 MAX_BROADCAST_IDS = 2_000_000
 
@@ -139,10 +144,26 @@ def _token_batch(nodes: list[int], tokens: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(offsets, np.concatenate(tokens))], ["node", "tokens"])
 
 
+_MEMBERS = "node long, n int, members array<long>, histogram array<int>"
+
+
+def histogram(shingles: np.ndarray) -> np.ndarray:
+    """Counts of a set by bucket: the sum of two sets' lesser counts bounds their intersection."""
+    return np.bincount((shingles >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS).astype(np.int32)
+
+
 def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(c.as_py()) for c in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "members"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([set_id(s) for s in sets], pa.int64()),
+                pa.array([len(s) for s in sets], pa.int32()),
+                pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                pa.array([histogram(s) for s in sets], pa.list_(pa.int32())),
+            ],
+            ["node", "n", "members", "histogram"],
+        )
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -166,25 +187,36 @@ def candidates(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     info = nodes.select("node", "n_shingles", "drop_own", "drop_above")
     droppable = F.when(F.expr(f"pow({BAND_RATIO}, band) > n_shingles"), F.col("drop_above")).otherwise(F.col("drop_own"))
     kept = without_frequent(found.join(info, "node").withColumn("droppable", droppable), "node", "band")
-    met = stage(kept, "met")
     # What is left may have lost its counterpart, which dropped it.
-    return shared(met).select("node").distinct()
+    return shared(kept).select("node").distinct()
 
 
 def refine(members: DataFrame) -> DataFrame:
-    """(token, node, n_shingles): single features that sets have in common, the rarest that are needed: second level."""
-    size = F.size("members")
+    """(token, node, n, common): features that sets have in common, the rarest that are needed: second level.
+
+    ``common`` is the share of the set's features that other sets have too.
+    """
+    sizes = members.select("node", F.col("n").alias("size"), (F.col("n") - F.floor(F.col("n") / 4) - 1).cast("int").alias("droppable"))
     rows = members.select("node", F.explode("members").alias("token"))
-    found = shared(rows).join(members.select("node", (size - F.floor(size / 4) - 1).cast("int").alias("droppable")), "node")
+    found = shared(rows).join(sizes, "node")
     met = shared(without_frequent(found, "node")).select("node", "token")
-    return met.join(members.select("node", size.alias("n_shingles")), "node").select("token", "node", "n_shingles")
+    info = found.groupBy("node", "size").agg((F.count("*") / F.col("size")).alias("common"))
+    return met.join(info, "node").select("token", "node", F.col("size").alias("n"), "common")
 
 
 def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar, by their whole sets."""
+    """The pairs (a, b) that are similar: those that histograms allow, by their whole sets."""
+    light = members.select("node", "n", "histogram")
+
+    def side(name: str) -> DataFrame:
+        return light.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("histogram").alias(f"h{name}"))
+
+    bound = F.expr("aggregate(zip_with(ha, hb, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
+    likely = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("most", bound).filter(f"100 * most >= {PERCENT} * (na + nb - most)").select("a", "b", "na", "nb")
+    likely = stage(likely, "likely")
     a = members.select(F.col("node").alias("a"), F.col("members").alias("of_a"))
     b = members.select(F.col("node").alias("b"), F.col("members").alias("of_b"))
-    both = pairs.join(b, "b").join(a, "a").select("a", "b", F.size("of_a").alias("na"), F.size("of_b").alias("nb"), F.size(F.array_intersect("of_a", "of_b")).alias("shared"))
+    both = likely.join(b, "b").join(a, "a").withColumn("shared", F.size(F.array_intersect("of_a", "of_b")))
     return both.filter(f"100 * shared >= {PERCENT} * (na + nb - shared)").select("a", "b")
 
 
@@ -202,36 +234,101 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = new.select("node", "label")
 
 
-def _similar_size():
-    return F.expr("4 * least(na, nb) >= 3 * greatest(na, nb)")
+def _block_pairs(batches: Iterable[pa.RecordBatch], per_component: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows come by (token, left, right), in order: the members of a block or of two blocks of a group.
+
+    Yields the pairs of different components whose sizes and histograms allow them to be similar; with
+    ``per_component`` only the likeliest for each set and component of the other side.
+    """
+    key, rows = None, []
+    found: list[tuple[int, int]] = []
+    for batch in batches:
+        columns = [batch.column(i).to_pylist() for i in range(7)]
+        histograms = batch.column(7).flatten().to_numpy().reshape(-1, BUCKETS)
+        for i, (token, left, right, block, node, n, label) in enumerate(zip(*columns, strict=True)):
+            if (token, left, right) != key:
+                found += _compare(key, rows, per_component)
+                key, rows = (token, left, right), []
+            rows.append((block, node, n, label, histograms[i]))
+        if len(found) >= 10_000:
+            yield _pair_batch(found)
+            found = []
+    found += _compare(key, rows, per_component)
+    if found:
+        yield _pair_batch(found)
+
+
+def _pair_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*dict.fromkeys(found), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _compare(key: tuple[int, int, int] | None, rows: list[tuple], per_component: int | None) -> list[tuple[int, int]]:
+    """At most two blocks of rows; those of one block among themselves, of two across."""
+    if key is None or len({r[3] for r in rows}) < 2:
+        return []
+    _, left, right = key
+    xs = [r for r in rows if r[0] == left]
+    ys = xs if left == right else [r for r in rows if r[0] == right]
+    nodes, size, label = (np.array([r[i] for r in ys], np.int64) for i in (1, 2, 3))
+    bags = np.array([r[4] for r in ys], np.int32).reshape(-1, BUCKETS)
+    out = []
+    for k, (_, node, n, own, bag) in enumerate(xs):
+        rest = slice(k + 1, None) if left == right else slice(None)
+        other = (label[rest] != own) & (4 * np.minimum(size[rest], n) >= 3 * np.maximum(size[rest], n))
+        at = np.flatnonzero(other)
+        if not len(at):
+            continue
+        most = np.minimum(bags[rest][at], bag).sum(axis=1)
+        union = n + size[rest][at] - most
+        likely = 100 * most >= PERCENT * union
+        at, ratio = at[likely], (most / np.maximum(union, 1))[likely]
+        if per_component is not None and len(at) > per_component:
+            order = np.lexsort((-ratio, label[rest][at]))
+            run = label[rest][at][order]
+            first = np.concatenate([[0], np.flatnonzero(run[1:] != run[:-1]) + 1])
+            place = np.arange(len(run)) - np.repeat(first, np.diff(np.append(first, len(run))))
+            at = at[order[place < per_component]]
+        out += [(min(node, int(x)), max(node, int(x))) for x in nodes[rest][at]]
+    return out
+
+
+def block_pairs(rows: DataFrame, members: DataFrame, per_component: int | None) -> DataFrame:
+    """Likely pairs (a, b) of different components within groups, from rows (token, node, n, label)."""
+
+    def run(batches):
+        return _block_pairs(batches, per_component)
+
+    # A group's rows are dealt to blocks by a hash; each block meets each other once, and itself.
+    sizes = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("left"), F.greatest("block", o).alias("right")))
+    spread = dealt.withColumn("meets", F.explode(others)).select("token", "meets.left", "meets.right", "block", "node", "n", "label")
+    full = spread.join(members.select("node", "histogram"), "node").select("token", "left", "right", "block", "node", "n", "label", "histogram")
+    return full.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def link_components(groups: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, label) for the nodes that are linked with another, from (token, node, n_shingles) groups."""
-    leader = groups.groupBy("token").agg(F.min(F.struct("node", "n_shingles")).alias("lead"))
-    pairs = groups.join(leader, "token").select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.n_shingles").alias("na"), F.col("n_shingles").alias("nb"))
-    links = stage(verified(pairs.filter("a < b").filter(_similar_size()).select("a", "b").distinct(), members), "links")
-    tried = 1
-    while True:
+    """(node, label) for the nodes that are linked with another, from (token, node, n, common) groups."""
+    leader = groups.groupBy("token").agg(F.max(F.struct("common", "node", "n")).alias("lead"))
+    met = groups.join(leader, "token").select(F.col("lead.node").alias("x"), F.col("node").alias("y"), F.col("lead.n").alias("nx"), F.col("n").alias("ny"))
+    near = met.filter("x <> y and 4 * least(nx, ny) >= 3 * greatest(nx, ny)")
+    # The leader stays first: the pairs of one leader need its set once.
+    pairs = near.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    links = stage(verified(pairs, members), "links")
+    labels = components(links)
+    for per_component in (FIRST_PAIRS, None):
+        known = groups.join(labels, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
+        open_tokens = known.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("token")
+        rows = stage(known.join(open_tokens, "token"), "open")
+        found = stage(verified(block_pairs(rows, members, per_component), members), "links")
+        if not found.limit(1).count():
+            if per_component is None:
+                break
+            continue
+        links = stage(links.union(found), "links")
         labels = components(links)
-        known = groups.join(labels, "node", "left").select("token", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
-        open_tokens = known.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size")).filter(f"least < most and size > {tried}")
-        rows = known.join(open_tokens.select("token", "size"), "token")
-        # One row stays in order for each group; the first leaders have been compared with all others.
-        rows = stage(rows.withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy("node"))).filter(f"place > {tried}"), "open")
-        leads = rows.filter(f"size <= {SMALL_GROUP} or place <= {tried + LEADERS}")
-        x = leads.select("token", F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("label").alias("la"))
-        y = rows.select("token", F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("label").alias("lb"))
-        more = stage(x.join(y, "token").filter("a < b and la <> lb").filter(_similar_size()).select("a", "b").distinct(), "pairs")
-        left = rows.filter(f"size > {SMALL_GROUP} and place > {tried + LEADERS}").limit(1).count()
-        if more.limit(1).count():
-            found = stage(verified(more, members), "links")
-            if found.limit(1).count():
-                links = stage(links.union(found), "links")
-                labels = None
-        tried += LEADERS
-        if not left:
-            return labels if labels is not None else components(links)
+    return labels
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
@@ -250,7 +347,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     ids = wanted.select(F.col("least_doc").alias("doc_id"))
     ids = F.broadcast(ids) if wanted.count() <= MAX_BROADCAST_IDS else ids
     texts = docs.join(ids, "doc_id", "left_semi").select("text").union(docs.filter("doc_id is null").select("text"))
-    members = texts.mapInArrow(_members, "node long, members array<long>").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    members = texts.mapInArrow(_members, _MEMBERS).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
     members = stage(members, "members")
     labels = link_components(stage(refine(members), "groups"), members)
     named = nodes.join(labels, "node", "left").select("node", "least_doc", F.coalesce("label", "node").alias("label"))
