@@ -28,6 +28,8 @@ from cubeloom.llm.encoding import encoder
 WORD_VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 OPEN_BINS = 128
+#: Chunks of text whose ids a worker remembers; beside the workers of other stages there is less room.
+KNOWN_CHUNKS = 250_000
 #: So many tasks' open bins are merged together.
 TASKS_PER_GROUP = 16
 END_ID = b"\0\0\0\0"
@@ -83,7 +85,7 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 
 
 def _pack(batches: Iterable[pa.RecordBatch], vocabulary: str, capacity: int, open_bins: int) -> Iterator[pa.RecordBatch]:
-    enc, packer, part = encoder(vocabulary), BestFitPacker(capacity, open_bins), TaskContext.get().partitionId()
+    enc, packer, part = encoder(vocabulary, KNOWN_CHUNKS), BestFitPacker(capacity, open_bins), TaskContext.get().partitionId()
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     names = [c.split()[0] for c in _PIECES.split(", ")]
 

@@ -44,8 +44,9 @@ BAND_RATIO = 4
 LOAD = 2.2
 #: Share of a set's size emitted beyond need, so that frequent signatures can be dropped.
 EXTRA = 0.06
-#: Histograms have so many counts.
-BUCKETS = 128
+#: Histograms have so many counts; of sets too large for short counts nothing is concluded.
+BUCKETS = 512
+HUGE = 1 << 22
 #: Groups are compared in blocks of so many sets; a larger group is dealt out by pairs of blocks.
 BLOCK = 1024
 #: In the first round of block comparisons each set brings so many pairs per component and group.
@@ -144,12 +145,12 @@ def _token_batch(nodes: list[int], tokens: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(offsets, np.concatenate(tokens))], ["node", "tokens"])
 
 
-_MEMBERS = "node long, n int, members array<long>, histogram array<int>"
+_MEMBERS = "node long, n int, members array<long>, histogram array<short>"
 
 
 def histogram(shingles: np.ndarray) -> np.ndarray:
     """Counts of a set by bucket: the sum of two sets' lesser counts bounds their intersection."""
-    return np.bincount((shingles >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS).astype(np.int32)
+    return np.bincount((shingles >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS).clip(0, 32767).astype(np.int16)
 
 
 def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +161,7 @@ def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([set_id(s) for s in sets], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int32()),
                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                pa.array([histogram(s) for s in sets], pa.list_(pa.int32())),
+                pa.array([histogram(s) for s in sets], pa.list_(pa.int16())),
             ],
             ["node", "n", "members", "histogram"],
         )
@@ -211,8 +212,8 @@ def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
     def side(name: str) -> DataFrame:
         return light.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("histogram").alias(f"h{name}"))
 
-    bound = F.expr("aggregate(zip_with(ha, hb, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
-    likely = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("most", bound).filter(f"100 * most >= {PERCENT} * (na + nb - most)").select("a", "b", "na", "nb")
+    bound = F.expr("aggregate(zip_with(ha, hb, (x, y) -> least(x, y)), 0, (s, x) -> s + int(x))")
+    likely = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("most", bound).filter(f"100 * most >= {PERCENT} * (na + nb - most) or na >= {HUGE}").select("a", "b", "na", "nb")
     likely = stage(likely, "likely")
     a = members.select(F.col("node").alias("a"), F.col("members").alias("of_a"))
     b = members.select(F.col("node").alias("b"), F.col("members").alias("of_b"))
@@ -271,7 +272,7 @@ def _compare(key: tuple[int, int, int] | None, rows: list[tuple], per_component:
     xs = [r for r in rows if r[0] == left]
     ys = xs if left == right else [r for r in rows if r[0] == right]
     nodes, size, label = (np.array([r[i] for r in ys], np.int64) for i in (1, 2, 3))
-    bags = np.array([r[4] for r in ys], np.int32).reshape(-1, BUCKETS)
+    bags = np.array([r[4] for r in ys], np.int16).reshape(-1, BUCKETS)
     out = []
     for k, (_, node, n, own, bag) in enumerate(xs):
         rest = slice(k + 1, None) if left == right else slice(None)
@@ -279,9 +280,9 @@ def _compare(key: tuple[int, int, int] | None, rows: list[tuple], per_component:
         at = np.flatnonzero(other)
         if not len(at):
             continue
-        most = np.minimum(bags[rest][at], bag).sum(axis=1)
+        most = np.minimum(bags[rest][at], bag).sum(axis=1, dtype=np.int64)
         union = n + size[rest][at] - most
-        likely = 100 * most >= PERCENT * union
+        likely = (100 * most >= PERCENT * union) | (n >= HUGE)
         at, ratio = at[likely], (most / np.maximum(union, 1))[likely]
         if per_component is not None and len(at) > per_component:
             order = np.lexsort((-ratio, label[rest][at]))
@@ -360,9 +361,8 @@ def join_documents(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component: the one with the smallest doc_id, with its columns.
 
-    Empty documents stay. Of rows with equal doc_id, text and all, the component's least doc_id keeps
-    them all, as they cannot be told apart.
+    Documents without words stay. Rows that share the doc_id that stays cannot be told apart and all
+    stay; a row without doc_id stays only if its component has no doc_id at all.
     """
-    found = join_documents(docs)
-    keep = found.filter("doc_id = component_id or doc_id is null").select("doc_id").distinct()
+    keep = join_documents(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     return docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")

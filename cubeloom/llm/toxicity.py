@@ -2,7 +2,8 @@
 
 Severity has ordered grades: 0 (not toxic) and 1 to 3. One weight vector over hashed words is shared
 by all thresholds, P(grade <= k) = sigmoid(threshold_k - score), so a higher score is more severe
-whatever the grade. The labels say only toxic or not; toxic training documents are graded by how
+whatever the grade. Weights are never negative: words can make a text more severe, and a text of
+unknown or harmless words scores nothing. The labels say only toxic or not; toxic training documents are graded by how
 dense the words that set them apart from the others are in them (thirds of the toxic documents).
 """
 
@@ -17,18 +18,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cubeloom.llm.words import HashedWords
+from cubeloom.llm.words import HashedWords, weigh
 
 BITS = 18
 GRADES = 4
 #: The model is fitted on so many labelled documents at most, those with the least hashes.
 TRAINING_ROWS = 12_000
-MIN_DOCUMENTS = 3
-STEPS = 200
+#: Words are kept so that about so many would be kept if toxicity had nothing to do with words.
+CHANCE_WORDS = 1.0
+MIN_WORDS = 20
+STEPS = 600
 RATE = 0.5
-PENALTY = 1e-4
-#: A document is toxic if a grade above 0 is at least this likely.
-DECISION = 0.5
+PENALTY = 1e-2
+#: A document is toxic if a grade above 0 is at least this likely: missing one costs more than losing one.
+DECISION = 0.3
 
 
 @dataclass(frozen=True)
@@ -60,15 +63,30 @@ def ordinal_gradient(scores: np.ndarray, grade: np.ndarray, thresholds: np.ndarr
     return (d_high - d_low) / n, by_threshold[1:-1], float(-np.log(p).mean())
 
 
-def grade_labels(toxic: np.ndarray, rows: np.ndarray, index: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
-    """Grades 0 to 3: toxic documents in thirds, by the share of words that mark toxic documents."""
-    n_toxic, n_clean = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+def marking_words(toxic: np.ndarray, rows: np.ndarray, index: np.ndarray, size: int) -> np.ndarray:
+    """The words that are in toxic documents too often for chance, by a bound on the binomial tail.
+
+    Where few pass, as with few documents, the ``MIN_WORDS`` least likely ones.
+    """
+    share = toxic.mean()
+    seen = np.bincount(index, minlength=size)
     in_toxic = np.bincount(index, weights=toxic[rows], minlength=size)
-    in_clean = np.bincount(index, weights=~toxic[rows], minlength=size)
-    odds = np.log((in_toxic + 0.5) / (n_toxic + 1)) - np.log((in_clean + 0.5) / (n_clean + 1))
-    marks = (odds > 2) & (in_toxic >= max(MIN_DOCUMENTS, 0.02 * n_toxic))
-    density = np.bincount(rows, weights=value**2 * marks[index], minlength=len(toxic))
-    cuts = np.quantile(density[toxic], [1 / 3, 2 / 3]) if toxic.any() else np.zeros(2)
+    some = np.flatnonzero(in_toxic > share * seen)
+    found = in_toxic[some] / seen[some]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rest = np.where(found < 1, (1 - found) * np.log((1 - found) / (1 - share)), 0.0)
+        log_tail = -seen[some] * (found * np.log(found / share) + rest)
+    limit = np.log(CHANCE_WORDS / max(1, len(some)))
+    limit = max(limit, np.sort(log_tail)[: MIN_WORDS][-1]) if len(some) else limit
+    marks = np.zeros(size, bool)
+    marks[some[log_tail <= limit]] = True
+    return marks
+
+
+def grade_labels(toxic: np.ndarray, rows: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Grades 0 to 3: toxic documents in thirds, by the share of marking words in them."""
+    density = np.bincount(rows, weights=value**2, minlength=len(toxic))
+    cuts = np.quantile(density[toxic], [1 / 3, 2 / 3])
     return np.where(toxic, 1 + np.searchsorted(cuts, density, side="left"), 0)
 
 
@@ -76,10 +94,9 @@ def fit_ordinal(toxic: np.ndarray, rows: np.ndarray, index: np.ndarray, value: n
     """Fit by gradient steps of adaptive size on sparse rows (row, index, value)."""
     if not toxic.any() or toxic.all():
         return OrdinalModel(np.zeros(size), np.zeros(0))
-    seen = np.bincount(index, minlength=size)
-    keep = seen[index] >= MIN_DOCUMENTS
+    keep = marking_words(toxic, rows, index, size)[index]
     rows, index, value = rows[keep], index[keep], value[keep]
-    grade = grade_labels(toxic, rows, index, value, size)
+    grade = grade_labels(toxic, rows, value)
     used, at = np.unique(index, return_inverse=True)
     w, m, v = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used))
     share = np.cumsum(np.bincount(grade, minlength=GRADES))[:-1] / len(grade)
@@ -94,6 +111,7 @@ def fit_ordinal(toxic: np.ndarray, rows: np.ndarray, index: np.ndarray, value: n
             first += 0.1 * (grad - first)
             second += 0.01 * (grad * grad - second)
             x -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
+        np.maximum(w, 0, out=w)
         t = np.maximum.accumulate(t + np.arange(len(t)) * 1e-6)
     weights = np.zeros(size)
     weights[used] = w
@@ -126,6 +144,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAINING_ROWS) -> Or
     found = sample.mapInArrow(_features, _FEATURES).toArrow().combine_chunks()
     if not found.num_rows:
         return OrdinalModel(np.zeros(1 << BITS), np.zeros(0))
+    # Copies of a text would make each of its words look telling: one of them counts.
+    prints = [hash((i.values.to_numpy().tobytes(), v.values.to_numpy().tobytes())) for i, v in zip(found["index"], found["value"], strict=True)]
+    found = found.take(sorted({h: k for k, h in reversed(list(enumerate(prints)))}.values())).combine_chunks()
     lists = found["index"].combine_chunks()
     rows = np.repeat(np.arange(found.num_rows), np.diff(lists.offsets.to_numpy()))
     value = found["value"].combine_chunks().flatten().to_numpy().astype(np.float64)
@@ -158,7 +179,7 @@ def score_documents(docs: DataFrame, model: OrdinalModel) -> DataFrame:
             for k, cell in enumerate(batch.column(at)):
                 index = words.indices(cell.as_py())
                 some, count = np.unique(index[weight[index] != 0], return_counts=True)
-                scores[k] = np.sqrt(count / max(1, len(index))) @ weight[some]
+                scores[k] = weigh(count, len(index)) @ weight[some]
             p = own.grades(scores) if len(thresholds) else np.tile([1.0, 0, 0, 0], (batch.num_rows, 1))
             grade = p.argmax(axis=1)
             severity = p @ np.arange(p.shape[1])

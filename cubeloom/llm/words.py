@@ -10,10 +10,15 @@ import numpy as np
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def weigh(count: np.ndarray, total: int) -> np.ndarray:
+    """Counts damped by repetition and, less, by the text's length: a word counts in a long text too."""
+    return np.sqrt(count) / max(1, total) ** 0.25
+
+
 class HashedWords:
     """Counts of a text's lower-case words by hash; the hashes of words met are remembered, up to a bound."""
 
-    def __init__(self, bits: int, max_words: int = 400_000):
+    def __init__(self, bits: int, max_words: int = 200_000):
         self.mask, self.max_words = (1 << bits) - 1, max_words
         self.known: dict[str, int] = {}
 
@@ -30,6 +35,6 @@ class HashedWords:
         return np.array(found, np.int64)
 
     def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct indices and the square roots of their shares: a vector of length 1."""
+        """Distinct indices and their weights."""
         index, count = np.unique(self.indices(text), return_counts=True)
-        return index, np.sqrt(count / max(1, count.sum()))
+        return index, weigh(count, count.sum())
