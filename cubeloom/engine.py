@@ -17,17 +17,19 @@ from pyspark.sql import functions as F
 
 from cubeloom.catalog import Catalog, reflection_rows
 from cubeloom.errors import AuthError, CompileError, EngineError, FederationError, PlaceholderError, unknown
-from cubeloom.model import META, AuthContext, Cube, DerivedTable, Dimension, Measure, TimeDimension
+from cubeloom.model import META, QUANTILES, AuthContext, Cube, DerivedTable, Dimension, Measure, TimeDimension
 from cubeloom.operators.aggregates import combine, measure_column
 from cubeloom.operators.fragments import column, restrict, substitute
 from cubeloom.operators.predicates import filter_column, tree_column
 from cubeloom.operators.timegrain import bucket, spine
 from cubeloom.plans import rollup as rollups
-from cubeloom.plans.logical import LogicalPlan, Output, Ref, bind_kind, build_plan, compare_column, output_for, overlapping
+from cubeloom.plans.logical import LogicalPlan, Output, Ref, bind_kind, build_plan, compare_column, equal_columns, output_for, overlapping
 from cubeloom.query import Filter, SemanticQuery
 from cubeloom.sources import Sources
 from cubeloom.streaming.chunks import CHUNK_ROWS, iter_chunks, iter_rows
 
+#: What a field is cast to where it declares another type to compare by.
+CASTS = {"string": "string", "number": "double", "uuid": "string", "bool": "boolean", "date": "date", "time": "timestamp_ntz"}
 COMPARED = ("current", "prior", "delta", "pct_change")
 
 
@@ -223,10 +225,25 @@ class Engine:
         """All cubes joined and all row predicates applied, but for the time window."""
         df = self.scan(plan.root, plan, env)
         for s in plan.steps:
-            df = df.join(self.scan(s.right, plan, env), env.column(s.join.on), "left" if s.right in plan.left else "inner")
+            df = df.join(self.scan(s.right, plan, env), self._on(s, env), "left" if s.right in plan.left else "inner")
         conditions = self._conditions(plan, env, df)
         return df.filter(reduce(lambda a, b: a & b, conditions)) if conditions else df
 
+    def _on(self, step: Any, env: _Env) -> Column:
+        """The join condition; keys whose dimensions declare another type to compare by are cast on both sides."""
+        columns = equal_columns(step.join.on)
+        sides = []
+        for name in (step.left, step.right):
+            cube = env.cubes[name]
+            own = next((c for a, c in (columns or {}).items() if a in (cube.alias, name)), None)
+            field = next((d for d in cube.dimensions if d.coerce_to and own and d.sql.replace("`", "") in (f"{{{cube.alias}}}.{own}", f"{{{name}}}.{own}")), None)
+            sides.append((f"{{{cube.alias}}}.{own}", field))
+        to = next((f.coerce_to for _, f in sides if f is not None), None)
+        if to is None:
+            return env.column(step.join.on)
+        left, right = (env.column(sql).cast(CASTS[to]) for sql, _ in sides)
+        return left == right
+
     def _conditions(self, plan: LogicalPlan, env: _Env, df: DataFrame) -> list[Column]:
         out = [env.column(env.cubes[c].base_predicate) for c in plan.cubes if env.cubes[c].base_predicate]
         out += [self._filter(ref, f, env, df) for ref, f in plan.filters]
@@ -240,7 +257,7 @@ class Engine:
         kind = bind_kind(ref.field)
         spark_type = _type(df, c) if kind in ("time", "date") else None
         if isinstance(ref.field, Dimension) and ref.field.coerce_to:
-            c = c.cast({"string": "string", "number": "double", "uuid": "string", "bool": "boolean", "date": "date", "time": "timestamp_ntz"}[kind])
+            c = c.cast(CASTS[kind])
         return filter_column(f, c, kind, spark_type)
 
     def _windowed(self, df: DataFrame, plan: LogicalPlan, env: _Env, window: tuple[str, str] | None) -> DataFrame:
@@ -270,16 +287,37 @@ class Engine:
         keys = [o for o in plan.outputs if o.kind in ("dimension", "time")]
         extra = list(plan.hidden) if hidden else []
         measures = [*(o for o in plan.outputs if o.kind == "measure"), *extra]
-        columns = [self._measure(o, env).alias(o.name) for o in measures]
+        columns, shared = [], self._quantiles(measures, env)
+        columns += [c for c, _ in shared]
+        together = {name: (f"__quantiles_{i}", k) for i, (_, names) in enumerate(shared) for k, name in enumerate(names)}
+        columns += [self._measure(o, env).alias(o.name) for o in measures if o.name not in together]
         columns += [measure_column(env.cubes[r.cube], _field(r, env), env.cubes, env.context).alias(f"__operand_{i}") for i, r in enumerate(plan.operands.values())]
         # Keys get plain names before grouping: a mask or a bucket is what is grouped by.
         named = {o.name: f"__key_{i}" for i, o in enumerate(keys)}
         if not columns:
             return df.select(*[self._key(o, df, env).alias(o.name) for o in keys]).distinct()
         if not keys:
-            return df.agg(*columns)
-        grouped = df.groupBy(*[self._key(o, df, env).alias(named[o.name]) for o in keys]).agg(*columns)
-        return grouped.withColumnsRenamed({v: k for k, v in named.items()})
+            grouped = df.agg(*columns)
+        else:
+            grouped = df.groupBy(*[self._key(o, df, env).alias(named[o.name]) for o in keys]).agg(*columns)
+        grouped = grouped.withColumnsRenamed({v: k for k, v in named.items()})
+        return grouped.withColumns({name: F.col(f"`{c}`")[k] for name, (c, k) in together.items()}) if together else grouped
+
+    def _quantiles(self, measures: list[Output], env: _Env) -> list[tuple[Column, list[str]]]:
+        """Several quantiles of one expression share one pass over its values."""
+        groups: dict[tuple, list[Output]] = {}
+        for o in measures:
+            m = _field(o.ref, env)
+            if m.agg in QUANTILES and not o.masked:
+                groups.setdefault((o.ref.cube, m.sql, m.filter), []).append(o)
+        out = []
+        for (_, sql, condition), found in groups.items():
+            if len(found) > 1:
+                value = env.column(sql)
+                value = F.when(env.column(condition), value) if condition else value
+                shares = F.array(*[F.lit(QUANTILES[_field(o.ref, env).agg]) for o in found])
+                out.append((F.percentile(value, shares).alias(f"__quantiles_{len(out)}"), [o.name for o in found]))
+        return out
 
     def _measure(self, o: Output, env: _Env) -> Column:
         m = _field(o.ref, env)

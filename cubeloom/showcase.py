@@ -12,9 +12,11 @@ from cubeloom import entities, federation, sqlfront
 from cubeloom.catalog import Catalog
 from cubeloom.engine import Engine
 from cubeloom.functions.lookups import enrich
-from cubeloom.model import AuthContext, Cube, DerivedTable, Dimension, Entity, Join, Lookup, Measure, NamedCTE, Rollup, ScopePredicate, Segment, TimeDimension, TimePartition, TimePartitionedSource
-from cubeloom.query import BoolExpr, CompareWindow, Filter, InlineDerived, SemanticQuery, SemiJoin, TimeWindow
+from cubeloom.functions.units import Units
+from cubeloom.model import META, AuthContext, Cube, DerivedTable, Dimension, Entity, Join, Lookup, Measure, NamedCTE, Rollup, ScopePredicate, Segment, TimeDimension, TimePartition, TimePartitionedSource, View
+from cubeloom.query import BoolExpr, CompareWindow, Filter, InlineDerived, SavedQuery, SemanticQuery, SemiJoin, TimeWindow
 from cubeloom.sources import Files, Frames, Sources
+from cubeloom.tools import rewrite
 
 DECIMALS = 4
 #: A rollup and a partition of events are made once per session and folder.
@@ -134,10 +136,16 @@ def catalog() -> Catalog:
             ),
             Cube(name="fed_customer", alias="fc", table="customer", measures=[_count("fed_customers")], dimensions=[_dim("fc", "c_nationkey", type="number")], joins=[Join(to="remote_nation", relationship="many_to_one", on="{fc}.c_nationkey = {rn}.n_nationkey")]),
             Cube(name="fed_supplier", alias="fs", table="supplier", measures=[_count("fed_suppliers")], dimensions=[_dim("fs", "s_nationkey", type="number")], joins=[Join(to="remote_nation", relationship="many_to_one", on="{fs}.s_nationkey = {rn}.n_nationkey")]),
+            Cube(name="poorer", alias="pc", table="customer", measures=[_count("pairs")], dimensions=[_dim("pc", "c_mktsegment", "segment")], joins=[Join(to="supplier", relationship="many_to_one", on="{pc}.c_nationkey = {s}.s_nationkey AND {pc}.c_acctbal < {s}.s_acctbal")]),
+            Cube(name="tiered_orders", alias="to1", table="{tenant_schema}", tenancy="schema", measures=[_count("tier_count")], dimensions=[_dim("to1", "o_orderstatus", "status")]),
+            Cube(name="text_orders", alias="tx", table="orders", measures=[_count("text_count")], dimensions=[_dim("tx", "o_custkey", "custkey", "number", coerce_to="string"), _dim("tx", "o_orderstatus", "status")], joins=[Join(to="text_customer", relationship="many_to_one", on="{tx}.o_custkey = {tc}.c_key")]),
+            Cube(name="text_customer", alias="tc", source=DerivedTable("SELECT CAST(c_custkey AS STRING) AS c_key, c_mktsegment FROM customer"), dimensions=[_dim("tc", "c_key", "key"), _dim("tc", "c_mktsegment", "segment")]),
             Cube(name="documents", alias="d", table="documents", measures=[_count("doc_count"), Measure(name="chars", sql="{d}.n_chars", agg="sum")], dimensions=[_dim("d", "doc_id", "doc_id", "number"), _dim("d", "lang", "lang"), _dim("d", "source", "source")]),
             Cube(name="labels", alias="lb", table="labels", measures=[_count("label_count")], dimensions=[_dim("lb", "quality", "quality", "number"), _dim("lb", "toxic", "toxic", "number")], joins=[Join(to="documents", relationship="one_to_one", on="{lb}.doc_id = {d}.doc_id")]),
             Cube(name="conversations", alias="cv", table="conversations", measures=[_count("turn_count")], dimensions=[_dim("cv", "role", "role")]),
         ],
+        views=[View(name="sales", fields={"income": "lineitem.revenue", "flag": "lineitem.returnflag", "market": "customer.segment"})],
+        saved_queries=[SavedQuery(name="open_orders", query=SemanticQuery(measures=("orders.order_count",), filters=(Filter(dimension="orders.status", op="eq", values=("O",)),)))],
         scope_fns={"by_priority": lambda cube, viewer: ScopePredicate("{so}.o_orderpriority = {ctx.priority}", ("priority",))},
         lookups=[Lookup(dimension="orders.status", labels={"F": "filled", "O": "open", "P": "pending"})],
         entities=[Entity(name="order", cubes=("orders",), key="orders.orderkey", fields={"id": "orders.orderkey", "status": "orders.status", "priority": "orders.priority"}, list_filters=("orders.status", "orders.priority", "orders.orderdate"), default_order="orders.orderkey asc")],
@@ -290,7 +298,16 @@ def cases() -> dict[str, tuple[Callable[[Engine], DataFrame], str | None]]:
     add("entity_fetch", lambda e: entities.fetch(e, "order", 7).df, "SELECT o_orderkey AS id, o_orderstatus AS status, o_orderpriority AS priority FROM orders WHERE o_orderkey = 7 LIMIT 1")
     add("entity_list_keyset", _second_page, "SELECT o_orderkey AS id, o_orderstatus AS status, o_orderpriority AS priority FROM orders WHERE o_orderstatus IN ('F', 'O') ORDER BY o_orderkey LIMIT 25 OFFSET 25")
     add("enrich_label", lambda e: enrich(e.query(q(measures=["orders.order_count"], dimensions=["orders.status"])), e.catalog, {"status": "orders.status"}), "SELECT o_orderstatus AS status, count(*) AS order_count, coalesce(CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' WHEN 'P' THEN 'pending' END, o_orderstatus) AS status__label FROM orders GROUP BY 1")
-    add("meta_catalog_measures", q(measures=["meta_measures.count"], dimensions=["meta_measures.agg"]), None)
+    known = ", ".join(f"('{m.agg}')" for c in catalog().cubes.values() if c.backend != META for m in c.measures)
+    add("meta_catalog_measures", q(measures=["meta_measures.count"], dimensions=["meta_measures.agg"]), f"SELECT agg, count(*) AS count FROM (VALUES {known}) AS t(agg) GROUP BY 1")
+    add("view_fields", q(measures=["sales.income"], dimensions=["sales.market", "sales.flag"]), f"SELECT c_mktsegment AS segment, l_returnflag AS returnflag, {r(f'sum({revenue})')} AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2")
+    add("saved_query", lambda e: e.saved("open_orders").df, "SELECT count(*) AS order_count FROM orders WHERE o_orderstatus = 'O'")
+    add("join_theta", q(measures=["poorer.pairs"], dimensions=["poorer.segment", "supplier.nationkey"]), "SELECT c_mktsegment AS segment, s_nationkey AS nationkey, count(*) AS pairs FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal < s_acctbal GROUP BY 1, 2")
+    add("tenancy_schema", q(measures=["tiered_orders.tier_count"], dimensions=["tiered_orders.status"]), "SELECT o_orderstatus AS status, count(*) AS tier_count FROM orders GROUP BY 1", viewer=AuthContext(viewer_id="v", tenant="orders"))
+    add("join_coerced_key", q(measures=["text_orders.text_count"], dimensions=["text_customer.segment"]), "SELECT c_mktsegment AS segment, count(*) AS text_count FROM orders JOIN customer ON CAST(o_custkey AS VARCHAR) = CAST(c_custkey AS VARCHAR) GROUP BY 1")
+    add("drill_down", lambda e: e.query(rewrite.rewrite(q(measures=["orders.total"], dimensions=["orders.status"]), rewrite.DrillDown("orders.priority", "orders.status"), rewrite.AddFilter(f("orders.custkey", "lt", 500)))), f"SELECT o_orderpriority AS priority, {r('sum(o_totalprice)')} AS total FROM orders WHERE o_custkey < 500 GROUP BY 1")
+    add("unit_conversion", lambda e: e.query(q(measures=["events.value"], dimensions=["events.event_type"])).select("event_type", Units().column(F.col("value"), "hour", "minute").alias("value")), f"SELECT event_type, {r('sum(value) * 60.0')} AS value FROM events GROUP BY 1")
+    add("compare_buckets", q(measures=["events.event_count"], time_dimension=_window("events.ts", "2024-01-08", "2024-01-15", "day"), compare=CompareWindow(mode="explicit", range=("2024-01-12", "2024-01-19"))), _compared_buckets())
     text = "SELECT customer.segment, SUM(orders.total) AS total FROM orders JOIN customer ON orders.custkey = customer.custkey WHERE orders.status <> 'F' AND orders.orderdate BETWEEN '1996-01-01' AND '1998-01-01' GROUP BY customer.segment HAVING SUM(orders.total) > 0 ORDER BY total DESC LIMIT 10"
     add("sql_front_end", lambda e: e.query(sqlfront.parse_sql(text, e.catalog)), f"SELECT c_mktsegment AS segment, {r('sum(o_totalprice)')} AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F' AND o_orderdate >= '1996-01-01' AND o_orderdate < '1998-01-01' GROUP BY 1 ORDER BY 2 DESC LIMIT 10")
     add("one_to_one_join", q(measures=["labels.label_count", "documents.chars"], dimensions=["documents.lang", "labels.toxic"]), "SELECT lang, toxic, count(*) AS label_count, sum(n_chars)::BIGINT AS chars FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY 1, 2")
@@ -298,6 +315,13 @@ def cases() -> dict[str, tuple[Callable[[Engine], DataFrame], str | None]]:
     return out
 
 
+def _compared_buckets() -> str:
+    part = "SELECT date_trunc('day', ts)::TIMESTAMP AS k, count(*) AS v FROM events WHERE ts >= '{}' AND ts < '{}' GROUP BY 1"
+    a, b = part.format("2024-01-08", "2024-01-15"), part.format("2024-01-12", "2024-01-19")
+    change = f"round(CASE WHEN b.v > 0 THEN (a.v - b.v) * 100.0 / b.v END, {DECIMALS})"
+    return f"SELECT coalesce(a.k, b.k) AS ts_day, a.v AS event_count_current, b.v AS event_count_prior, coalesce(a.v, 0) - coalesce(b.v, 0) AS event_count_delta, {change} AS event_count_pct_change FROM ({a}) a FULL JOIN ({b}) b ON a.k = b.k"
+
+
 def _second_page(e: Engine) -> DataFrame:
     """Rows 26 to 50 of a listing, by the cursor that the first page ends with."""
     asked = entities.ListSpec(entity="order", filters=(f("orders.status", "in", "F", "O"),), limit=25)

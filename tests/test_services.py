@@ -207,3 +207,53 @@ def test_entry_point_registers_queries():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert "join_five_cube" in entry.queries()
+
+
+def test_results_are_cached_by_namespace_viewer_and_time(spark):
+    from cubeloom.execution import ResultCache, Runner
+
+    now, told = [0.0], []
+    runner = Runner(make(spark), cache=ResultCache(2, ttl=10, clock=lambda: now[0]), on_execute=lambda *a: told.append(a[2:]))
+    asked = SemanticQuery(measures=("orders.n",))
+    assert runner.run(asked, viewer=ACME).rows == ((4,),)
+    assert runner.run(asked, viewer=ACME).cached
+    assert not runner.run(asked, viewer=ACME, namespace="other").cached
+    globex = AuthContext(viewer_id="bob", tenant="globex")
+    assert runner.run(asked, viewer=globex).dicts() == [{"n": 1}]
+    now[0] = 11
+    assert not runner.run(asked, viewer=globex).cached
+    assert told[:2] == [(1, False), (1, True)]
+    with pytest.raises(AuthError):
+        runner.run(asked)
+    with pytest.raises(CompileError):
+        runner.run_raw("DROP TABLE x")
+    assert runner.run_raw("SELECT 1 AS a") == [{"a": 1}]
+
+
+def test_command_line(capsys):
+    from cubeloom.__main__ import main
+
+    where = "cubeloom.showcase:catalog"
+    assert main(["docs", where]) == 0 and "## orders" in capsys.readouterr().out
+    assert main(["validate", where, '{"measures": ["orders.total"]}']) == 0
+    assert main(["validate", where, '{"measures": ["orders.nope"]}']) == 1
+    assert main(["validate", where, '{"measure": []}']) == 2
+    assert main(["diff", where, where]) == 0
+
+
+def test_stages():
+    from cubeloom.tools.stages import Route, Step, Steps, drills
+
+    cube = Cube(name="a", alias="a", table="t", dimensions=[Dimension(name=n, sql=f"{{a}}.{n}", type="string") for n in ("x", "y")], measures=[Measure(name="n", sql="*", agg="count")], drill_paths=[("x", "y")])
+    catalog = Catalog([cube])
+    [drill] = drills(SemanticQuery(measures=("a.n",), dimensions=("a.x",)), catalog)
+    assert drill.query.dimensions == ("a.x", "a.y")
+    assert list(Steps((Step(drill.query), Step(SemanticQuery(measures=("a.m",))))).problems(catalog)) == [1]
+    with pytest.raises(CompileError):
+        Route("nowhere")
+
+
+def test_several_quantiles_share_a_pass(spark):
+    e = showcase.engine(spark, str(DATA))
+    df = e.query(showcase.q(measures=["lineitem.median_price", "lineitem.p90_price"]))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("percentile(") == 1
