@@ -78,7 +78,9 @@ class ChunkEncoder:
         self.known |= again
         chunks = [c for c in chunks if c not in again]
         if not self.drops_space:  # a chunk that is or holds a run of white space depends on its neighbours
-            chunks = [c for c in chunks if c and c[-1] != "\n" and not _UNSURE.search(c)]
+            chunks = [c for c in chunks if c and c[-1] != "\n"]
+            if _UNSURE.search(" ".join(chunks)):
+                chunks = [c for c in chunks if not _UNSURE.search(c)]
         for at in range(0, len(chunks), 500):
             plain = chunks[at : at + 500]
             spaced = [c if c[:1] == "\n" else " " + c for c in plain]
