@@ -5,8 +5,8 @@ open bin has f tokens free. A piece goes to the open bin it leaves the least spa
 set bit at or above its length). Where none fits and all places are taken, the fullest open bin is
 closed first.
 
-Every task packs the pieces of its own rows as they come, in one pass over the texts and without a
-shuffle. The few bins still open at a task's end are then packed as pieces themselves, the fullest
+Every task packs the pieces of its own rows in one pass over the texts and without a shuffle, a window
+of pieces at a time, the longest of it first, so short ones fill what long ones leave. The few bins still open at a task's end are then packed as pieces themselves, the fullest
 first, within groups of neighbouring tasks, so small tasks do not leave half-empty sequences.
 """
 
@@ -27,7 +27,9 @@ from cubeloom.llm.encoding import encoder
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
-OPEN_BINS = 128
+OPEN_BINS = 2048
+#: So many pieces are taken at a time, the longest first.
+WINDOW = 2000
 #: Chunks of text whose ids a worker remembers; beside the workers of other stages there is less room.
 KNOWN_CHUNKS = 250_000
 #: So many tasks' open bins are merged together.
@@ -92,21 +94,24 @@ def _pack(batches: Iterable[pa.RecordBatch], vocabulary: str, capacity: int, ope
     def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
+    def placed(window: list[tuple]) -> pa.RecordBatch:
+        window.sort(key=lambda piece: -piece[3])
+        return out([(*piece, part, *packer.add(piece[3]), None) for piece in window])
+
+    window: list[tuple] = []
     for batch in batches:
         texts = (t.as_py() or "" for t in batch.column(1))
-        rows: list[tuple] = []
         for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_many(texts), strict=True):
             ids += END_ID
             n = len(ids) // 4
             for k, at in enumerate(range(0, n, capacity)):
                 length = min(capacity, n - at)
-                place, offset = packer.add(length)
-                rows.append((doc_id, k, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), part, place, offset, None))
-            if len(rows) >= 10_000:
-                yield out(rows)
-                rows = []
-        if rows:
-            yield out(rows)
+                window.append((doc_id, k, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)])))
+                if len(window) == WINDOW:
+                    yield placed(window)
+                    window = []
+    if window:
+        yield placed(window)
     if left := [(None, None, None, None, None, part, place, None, held) for place, held in packer.open()]:
         yield out(left)
 
