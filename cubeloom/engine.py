@@ -7,9 +7,10 @@ columns, pushes the filters and picks the joins.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import cached_property, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,7 @@ from cubeloom.streaming.chunks import CHUNK_ROWS, iter_chunks, iter_rows
 
 #: What a field is cast to where it declares another type to compare by.
 CASTS = {"string": "string", "number": "double", "uuid": "string", "bool": "boolean", "date": "date", "time": "timestamp_ntz"}
+_PLAIN = re.compile(r"\s*\{(\w+)\}\.`?(\w+)`?\s*")
 COMPARED = ("current", "prior", "delta", "pct_change")
 
 
@@ -57,12 +59,16 @@ class Compiled:
 
     df: DataFrame
     plan: LogicalPlan
-    columns: tuple[ColumnMeta, ...]
     rollup: str | None = None
     physical_sources: tuple[str, ...] = ()
     derived_sources: tuple[str, ...] = ()
     warnings: tuple[str, ...] = ()
 
+    @cached_property
+    def columns(self) -> tuple[ColumnMeta, ...]:
+        """What each column is; the types are those of the analysed plan."""
+        return _meta(self.plan, self.df)
+
     def rows(self) -> list[dict[str, Any]]:
         return [r.asDict() for r in self.df.collect()]
 
@@ -84,9 +90,20 @@ class _Env:
     cubes: dict[str, Cube]  # with a rollup or renames in place
     physical: list[str] = field(default_factory=list)
     derived: list[str] = field(default_factory=list)
+    columns: dict[str, Column] = field(default_factory=dict)
+    types: dict[str, dict[str, str]] = field(default_factory=dict)  # by alias and column
 
     def column(self, sql: str) -> Column:
-        return column(sql, self.cubes, self.context)
+        if sql not in self.columns:
+            self.columns[sql] = column(sql, self.cubes, self.context)
+        return self.columns[sql]
+
+    def type(self, df: DataFrame, sql: str) -> str:
+        """The Spark type of a fragment; of a plain column known without asking the analyser."""
+        m = _PLAIN.fullmatch(sql)
+        cube = next((c for n, c in self.cubes.items() if m and m[1] in (n, c.alias)), None)
+        found = self.types.get(cube.alias, {}).get(m[2]) if cube is not None else None
+        return found or _type(df, self.column(sql))
 
 
 class Engine:
@@ -169,13 +186,14 @@ class Engine:
         else:
             df = self._grouped(plan, env)
         df = self._ordered(df, plan)
-        meta = _meta(plan, env, df)
-        return Compiled(df, plan, meta, plan.rollup and plan.rollup[1], tuple(env.physical), tuple(env.derived), plan.warnings)
+        return Compiled(df, plan, plan.rollup and plan.rollup[1], tuple(env.physical), tuple(env.derived), plan.warnings)
 
     def scan(self, name: str, plan: LogicalPlan, env: _Env) -> DataFrame:
         """A cube's rows that the viewer may see, under its alias."""
         cube = env.cubes[name]
-        df = self._source(cube, plan, env).alias(cube.alias)
+        df = self._source(cube, plan, env)
+        env.types[cube.alias] = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+        df = df.alias(cube.alias)
         for col in cube.tenancy_columns if cube.tenancy == "discriminator" else ():
             value = env.context.get(col, env.context.get("tenant") if len(cube.tenancy_columns) == 1 else None)
             if value is None:
@@ -253,9 +271,10 @@ class Engine:
         return out
 
     def _filter(self, ref: Ref, f: Filter, env: _Env, df: DataFrame) -> Column:
-        c = env.column(_field(ref, env).sql)
+        sql = _field(ref, env).sql
+        c = env.column(sql)
         kind = bind_kind(ref.field)
-        spark_type = _type(df, c) if kind in ("time", "date") else None
+        spark_type = env.type(df, sql) if kind in ("time", "date") else None
         if isinstance(ref.field, Dimension) and ref.field.coerce_to:
             c = c.cast(CASTS[kind])
         return filter_column(f, c, kind, spark_type)
@@ -265,17 +284,18 @@ class Engine:
         if plan.time is None or window is None:
             return df
         c = env.column(_field(plan.time, env).sql)
-        t = _type(df, c)
+        t = env.type(df, _field(plan.time, env).sql)
         low, high = (filter_column(Filter(dimension=plan.time.key, op=op, values=(v,)), c, "time", t) for op, v in (("gte", window[0]), ("lt", window[1])))
         return df.filter(low & high)
 
     def _key(self, o: Output, df: DataFrame, env: _Env) -> Column:
-        c = env.column(_field(o.ref, env).sql)
+        sql = _field(o.ref, env).sql
+        c = env.column(sql)
         if o.masked:
-            return _mask(o.ref.field, _type(df, c))
+            return _mask(o.ref.field, env.type(df, sql))
         if o.grain:
             cube = env.cubes[o.ref.cube]
-            c = bucket(c, o.grain, _type(df, c), cube.week_start, cube.timezone) if not _stored_bucket(cube) else c
+            c = bucket(c, o.grain, env.type(df, sql), cube.week_start, cube.timezone) if not _stored_bucket(cube) else c
         return c
 
     def _listing(self, plan: LogicalPlan, env: _Env) -> DataFrame:
@@ -292,15 +312,13 @@ class Engine:
         together = {name: (f"__quantiles_{i}", k) for i, (_, names) in enumerate(shared) for k, name in enumerate(names)}
         columns += [self._measure(o, env).alias(o.name) for o in measures if o.name not in together]
         columns += [measure_column(env.cubes[r.cube], _field(r, env), env.cubes, env.context).alias(f"__operand_{i}") for i, r in enumerate(plan.operands.values())]
-        # Keys get plain names before grouping: a mask or a bucket is what is grouped by.
-        named = {o.name: f"__key_{i}" for i, o in enumerate(keys)}
         if not columns:
             return df.select(*[self._key(o, df, env).alias(o.name) for o in keys]).distinct()
         if not keys:
             grouped = df.agg(*columns)
         else:
-            grouped = df.groupBy(*[self._key(o, df, env).alias(named[o.name]) for o in keys]).agg(*columns)
-        grouped = grouped.withColumnsRenamed({v: k for k, v in named.items()})
+            # The expression is grouped by, a mask or a bucket, never a column that has its name.
+            grouped = df.groupBy(*[self._key(o, df, env).alias(o.name) for o in keys]).agg(*columns)
         return grouped.withColumns({name: F.col(f"`{c}`")[k] for name, (c, k) in together.items()}) if together else grouped
 
     def _quantiles(self, measures: list[Output], env: _Env) -> list[tuple[Column, list[str]]]:
@@ -342,12 +360,14 @@ class Engine:
             df = df.filter(_having(f, plan))
         if q.time_dimension and q.time_dimension.fill_nulls_with is not None:
             df = self._filled(df, plan, env, base)
+        if not (plan.operands or q.time_dimension and q.time_dimension.fill_nulls_with is not None or self._quantiles([o for o in plan.outputs if o.kind == "measure"], env)):
+            return df  # the columns are as asked for, in order
         return df.select(*[F.col(f"`{o.name}`") for o in (*plan.outputs, *plan.hidden)])
 
     def _filled(self, df: DataFrame, plan: LogicalPlan, env: _Env, base: DataFrame) -> DataFrame:
         o = next(o for o in plan.outputs if o.kind == "time")
         cube = env.cubes[o.ref.cube]
-        kind = _type(base, env.column(_field(o.ref, env).sql))
+        kind = env.type(base, _field(o.ref, env).sql)
         all_buckets = spine(self.spark, plan.query.time_dimension.range, o.grain, kind, o.name, cube.week_start, cube.timezone)
         filled = all_buckets.join(df, o.name, "left")
         value = plan.query.time_dimension.fill_nulls_with
@@ -495,7 +515,7 @@ def _as_rollup(cube: Cube, name: str, plan: LogicalPlan) -> Cube:
     return cube.with_(table=r.physical_table, source=None, physical_sources=(), time_partition=None, base_predicate=None, measures=measures, dimensions=dims, time_dimensions=times, segments=(), rollups=(), metadata={**cube.metadata, "rollup_of": cube.name}, drill_paths=(), required_filters=(), primary_key=None, joins=())
 
 
-def _meta(plan: LogicalPlan, env: _Env, df: DataFrame) -> tuple[ColumnMeta, ...]:
+def _meta(plan: LogicalPlan, df: DataFrame) -> tuple[ColumnMeta, ...]:
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     out = []
     for o in plan.outputs:
