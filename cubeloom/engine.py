@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cubeloom.catalog import Catalog, reflection_rows
 from cubeloom.errors import AuthError, CompileError, EngineError, FederationError, PlaceholderError, unknown
 from cubeloom.model import META, QUANTILES, AuthContext, Cube, DerivedTable, Dimension, Measure, TimeDimension
-from cubeloom.operators.aggregates import combine, measure_column
+from cubeloom.operators.aggregates import PARTS, combine, measure_column, measure_value, partial, total
 from cubeloom.operators.fragments import column, restrict, substitute
 from cubeloom.operators.predicates import filter_column, tree_column
 from cubeloom.operators.timegrain import bucket, spine
@@ -345,8 +345,11 @@ class Engine:
     def _grouped(self, plan: LogicalPlan, env: _Env) -> DataFrame:
         q = plan.query
         window = q.time_dimension.range if q.time_dimension else None
-        base = self._windowed(self.joined(plan, env), plan, env, window)
-        df = self._aggregated(base, plan, env)
+        df = self._totalled_first(plan, env) if plan.partial else None
+        base = None
+        if df is None:
+            base = self._windowed(self.joined(plan, env), plan, env, window)
+            df = self._aggregated(base, plan, env)
         if any(o.masked and o.kind == "measure" for o in plan.outputs):
             df = df.withColumns({o.name: F.lit(o.ref.field.mask_value) if o.ref.field.mask_value is not None else F.lit(None).cast("double") for o in plan.outputs if o.masked and o.kind == "measure"})
         operand = {r: F.col(f"__operand_{i}") for i, r in enumerate(plan.operands)}
@@ -364,6 +367,47 @@ class Engine:
             return df  # the columns are as asked for, in order
         return df.select(*[F.col(f"`{o.name}`") for o in (*plan.outputs, *plan.hidden)])
 
+    def _totalled_first(self, plan: LogicalPlan, env: _Env) -> DataFrame | None:
+        """The grouped result by way of totals per join key: what is joined is a row per key, not per fact.
+
+        None where the query does not allow it: measures of other cubes or of aggregates that have no
+        parts, joins that multiply rows, or a filter tree over both sides of a join.
+        """
+        root, cube = plan.root, env.cubes[plan.root]
+        measures = [o for o in (*plan.outputs, *plan.hidden) if o.kind == "measure"]
+        tree = {r.cube for r in plan.where_refs.values()}
+        fits = plan.steps and measures and not plan.operands and not any(o.kind == "derived" for o in plan.outputs)
+        fits = fits and all(o.ref.cube == root and o.ref.field.agg in PARTS and not o.masked for o in measures)
+        fits = fits and not any(s.multiplies for s in plan.steps) and len(tree) < 2 and (plan.time is None or plan.time.cube == root)
+        if not fits or plan.query.time_dimension and plan.query.time_dimension.fill_nulls_with is not None:
+            return None
+
+        def conditions(cubes: set[str], df: DataFrame) -> list[Column]:
+            out = [env.column(env.cubes[c].base_predicate) for c in plan.cubes if c in cubes and env.cubes[c].base_predicate]
+            out += [self._filter(r, f, env, df) for r, f in plan.filters if r.cube in cubes]
+            if plan.where is not None and tree <= cubes:
+                out.append(tree_column(plan.where, lambda f: self._filter(plan.where_refs[f.dimension], f, env, df)))
+            return out + [env.column(x.field.sql) for x in plan.segments if x.cube in cubes]
+
+        df = self.scan(root, plan, env)
+        found = conditions({root}, df)
+        df = df.filter(reduce(lambda a, b: a & b, found)) if found else df
+        df = self._windowed(df, plan, env, plan.query.time_dimension and plan.query.time_dimension.range)
+        keys = [o for o in plan.outputs if o.kind in ("dimension", "time")]
+        own = {o.name: f"__own_{i}" for i, o in enumerate(keys) if o.ref.cube == root}
+        used = [c for s in plan.steps for a, c in re.findall(r"\{(\w+)\}\.`?(\w+)`?", s.join.on) if a in (cube.alias, root)]
+        by = [F.col(f"{cube.alias}.`{c}`").alias(c) for c in dict.fromkeys(used)]
+        by += [self._key(o, df, env).alias(own[o.name]) for o in keys if o.name in own]
+        parts = [p for i, o in enumerate(measures) for p in partial(o.ref.field.agg, measure_value(_field(o.ref, env), env.cubes, env.context), f"__part_{i}")]
+        df = df.groupBy(*by).agg(*parts).alias(cube.alias)
+        for s in plan.steps:
+            df = df.join(self.scan(s.right, plan, env), self._on(s, env), "left" if s.right in plan.left else "inner")
+        found = conditions(set(plan.cubes) - {root}, df)
+        df = df.filter(reduce(lambda a, b: a & b, found)) if found else df
+        totals = [total(o.ref.field.agg, [F.col(f"__part_{i}_{k}") for k in range(len(PARTS[o.ref.field.agg]))]).alias(o.name) for i, o in enumerate(measures)]
+        named = [(F.col(f"{cube.alias}.{own[o.name]}") if o.name in own else self._key(o, df, env)).alias(o.name) for o in keys]
+        return df.groupBy(*named).agg(*totals) if named else df.agg(*totals)
+
     def _filled(self, df: DataFrame, plan: LogicalPlan, env: _Env, base: DataFrame) -> DataFrame:
         o = next(o for o in plan.outputs if o.kind == "time")
         cube = env.cubes[o.ref.cube]

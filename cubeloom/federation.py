@@ -103,7 +103,8 @@ def compile_federated(engine: Engine, q: SemanticQuery, *, mode: str = "distribu
         for s in reversed(plan.steps):
             if s.right in needed:
                 needed.add(s.left)
-        plan = replace(plan, left=frozenset(foreign - needed))
+        # Combinable measures are totalled by the key that joins the sources before they meet.
+        plan = replace(plan, left=frozenset(foreign - needed), partial=mode == "distributive")
     return engine._lower(engine._routed(plan), viewer, context or {})
 
 

@@ -19,10 +19,36 @@ def measure_column(cube: Cube, m: Measure, cubes: Mapping[str, Cube], context: M
         return ratio(top, bottom)
     if m.metadata.get("zero"):  # a stored count, summed without groups
         return F.coalesce(F.sum(column(m.sql, cubes, context)), F.lit(0))
+    return aggregate(m.agg, measure_value(m, cubes, context))
+
+
+def measure_value(m: Measure, cubes: Mapping[str, Cube], context: Mapping[str, Any]) -> Column:
+    """What a measure aggregates, null in rows that its filter leaves out."""
     value = F.lit(1) if m.agg == "count" and m.sql.strip() in ("*", "1", "") else column(m.sql, cubes, context)
-    if m.filter:
-        value = F.when(column(m.filter, cubes, context), value)
-    return aggregate(m.agg, value)
+    return F.when(column(m.filter, cubes, context), value) if m.filter else value
+
+
+#: Aggregates as parts that can be added up, and the whole from the parts' totals.
+PARTS = {
+    "sum": (("sum", "sum"),),
+    "count": (("count", "sum"),),
+    "min": (("min", "min"),),
+    "max": (("max", "max"),),
+    "avg": (("sum", "sum"), ("count", "sum")),
+}
+
+
+def partial(agg: str, value: Column, name: str) -> list[Column]:
+    """The parts of an aggregate over some of its rows."""
+    return [aggregate(part, value).alias(f"{name}_{i}") for i, (part, _) in enumerate(PARTS[agg])]
+
+
+def total(agg: str, parts: list[Column]) -> Column:
+    """The aggregate from its parts over all groups of rows."""
+    found = [aggregate(whole, p) for (_, whole), p in zip(PARTS[agg], parts, strict=True)]
+    if agg == "avg":
+        return ratio(found[0], found[1])
+    return F.coalesce(found[0], F.lit(0)) if agg == "count" else found[0]
 
 
 def aggregate(agg: str, value: Column) -> Column:

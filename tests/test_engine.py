@@ -390,3 +390,15 @@ def test_sources_by_name(spark, tables):
 def test_chunks(shop):
     chunks = list(shop.compile(q(dimensions=["orders.id"], ungrouped=True, order=[("orders.id", "asc")])).iter_chunks(2))
     assert [[r["id"] for r in c] for c in chunks] == [[1, 2], [3, 4], [5]]
+
+
+def test_distributive_totals_come_before_the_join(two_sources, shop):
+    asked = q(measures=["orders.revenue", "orders.n", "orders.mean"], dimensions=["customers.region", "orders.status"], filters=[f("customers.tier", "neq", "none"), f("orders.id", "gt", 1)])
+    partial = federation.compile_federated(two_sources, asked)
+    plan = partial.df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.rindex("Aggregate")  # a second aggregation lies below the join
+    want = rows(shop.query(asked), "region", "status", "revenue", "n", "mean")
+    assert rows(partial.df, "region", "status", "revenue", "n", "mean") == want
+    assert rows(federation.compile_federated(two_sources, asked, mode="raw_rows").df, "region", "status", "revenue", "n", "mean") == want
+    nothing = q(measures=["orders.n", "orders.mean"], filters=[f("customers.tier", "eq", "none")])
+    assert rows(federation.compile_federated(two_sources, nothing).df, "n", "mean") == [(0, None)]
