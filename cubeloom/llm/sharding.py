@@ -1,11 +1,15 @@
 """Sharding by histogram sort.
 
-Documents are put in the order of a 63-bit key (a hash of the text, then one of the doc_id, so equal
+Documents are put in the order of a 62-bit key (a hash of the text, then one of the doc_id, so equal
 texts lie together) and cut into shards of nearly equal bytes. The cuts are found without sorting:
 in each round all tasks count the exact rows and bytes below a set of candidate keys, and new
 candidates are placed in the gaps that still hold a cut or too many rows. When every cut is within
 tolerance, one exchange moves the documents. The counts below the candidates also give each gap's
 first place within its shard, so places are gapless without a sort of a whole shard in one task.
+
+Groups of equal texts stay whole. A large one would often lie across a cut, so large groups are dealt
+to shards first, the largest to the emptiest; their keys move behind all others, and the cuts of the
+rest make up the difference. Only a group that fits in no shard is cut like single documents.
 """
 
 from __future__ import annotations
@@ -21,15 +25,15 @@ from pyspark.sql import Window
 from cubeloom.llm.common import stage
 
 SHARDS = 8
-#: A cut may miss its goal by this share of a shard's bytes ...
+#: A cut may miss its goal by this share of a shard's bytes, or by what keeps equal texts together ...
 TOLERANCE = 0.002
-#: ... and moves on to the edge of a group of equal texts if that is within this share of a shard.
+#: ... if they are not more than this share of a shard. Larger groups are dealt out whole, a few hundred at most.
 GROUP_SLACK = 0.01
 #: Candidate keys of the first round, and per open gap later.
 FIRST_PROBES = 1024
 PROBES_PER_GAP = 16
 MAX_ROUNDS = 24
-TEXT_BITS, DOC_BITS = 39, 24
+TEXT_BITS, DOC_BITS = 38, 24
 KEY_END = 1 << (TEXT_BITS + DOC_BITS)
 
 
@@ -65,11 +69,15 @@ def count_gaps(keys: DataFrame, probes: list[int]) -> list[tuple[int, int]]:
 
 
 class Histogram:
-    """Candidate keys with the exact rows and bytes below each; refined until every cut is near enough."""
+    """Candidate keys with the exact rows and bytes below each; refined until every cut is near enough.
+
+    ``goals`` are the bytes that should lie below each cut; keys from KEY_END on belong to moved groups.
+    """
 
-    def __init__(self, keys: DataFrame, shards: int, rows_per_gap: int):
-        self.keys, self.shards, self.rows_per_gap = keys, shards, rows_per_gap
-        self.probes = [KEY_END * i // FIRST_PROBES for i in range(1, FIRST_PROBES)]
+    def __init__(self, keys: DataFrame, goals: list[float], n_moved: int, allowed: float, large: float, rows_per_gap: int):
+        self.keys, self.goals, self.allowed, self.large, self.rows_per_gap = keys, goals, allowed, large, rows_per_gap
+        self.end = KEY_END + (n_moved << DOC_BITS)
+        self.probes = [KEY_END * i // FIRST_PROBES for i in range(1, FIRST_PROBES)] + [KEY_END + (i << DOC_BITS) for i in range(n_moved)]
         self.rounds = 0
         self._count()
         while self.rounds < MAX_ROUNDS and (more := self._wanted()):
@@ -77,86 +85,138 @@ class Histogram:
             self._count()
 
     def _count(self) -> None:
-        gaps = count_gaps(self.keys, self.probes)
-        sums = np.cumsum([(0, 0), *gaps], axis=0)
-        self.rows_below, self.bytes_below = sums[:-1, 0].tolist(), sums[:-1, 1].tolist()  # below each gap
-        self.n_rows, self.n_bytes = int(sums[-1, 0]), int(sums[-1, 1])
+        self.gaps = count_gaps(self.keys, self.probes)
+        sums = np.cumsum([(0, 0), *self.gaps], axis=0)
+        self.bytes_below = sums[:-1, 1].tolist()  # below each gap
         self.edges = [0, *self.probes]  # first key of each gap
+        self.n_regular = bisect_left(self.edges, KEY_END)
+        within: dict[int, int] = {}
+        for edge, (_, size), following in zip(self.edges, self.gaps, [*self.edges[1:], self.end], strict=True):
+            if following - edge < 1 << DOC_BITS:  # part of one text's keys
+                within[edge >> DOC_BITS] = within.get(edge >> DOC_BITS, 0) + size
+        self.within = within
         self.rounds += 1
 
-    def _ends(self, gap: int) -> tuple[int, int]:
-        return self.edges[gap], self.edges[gap + 1] if gap + 1 < len(self.edges) else KEY_END
+    def _near(self, goal: float) -> list[int]:
+        """The gaps before and after a goal that a shard may begin with.
+
+        That is a gap that begins with a text's first key, or one inside a group that is too large to stay whole.
+        """
+
+        def may(j: int) -> bool:
+            edge = self.edges[j]
+            return edge % (1 << DOC_BITS) == 0 or self.within.get(edge >> DOC_BITS, 0) > self.large
+
+        k = bisect_left(self.bytes_below, goal, 0, self.n_regular)
+        before = next((j for j in range(k - 1, -1, -1) if may(j)), None)
+        after = next((j for j in range(k, self.n_regular) if may(j)), None)
+        return [j for j in (before, after) if j is not None]
 
-    def _goals(self) -> list[float]:
-        return [self.n_bytes * i / self.shards for i in range(1, self.shards)]
+    def _best(self, goal: float) -> int:
+        return min(self._near(goal), key=lambda j: abs(self.bytes_below[j] - goal))
 
     def _wanted(self) -> set[int]:
         """New candidates inside the gaps with a cut that is too far off, or with too many rows."""
-        open_gaps = set()
-        allowed = TOLERANCE * self.n_bytes / self.shards
-        for goal in self._goals():
-            k = bisect_left(self.bytes_below, goal)  # first gap that begins at or after the goal
-            near = min(abs(self.bytes_below[j] - goal) for j in (k - 1, k) if 0 <= j < len(self.bytes_below))
-            if near > allowed and k:
-                open_gaps.add(k - 1)
-        rows = [b - a for a, b in zip(self.rows_below, [*self.rows_below[1:], self.n_rows], strict=True)]
-        open_gaps.update(g for g, n in enumerate(rows) if n > self.rows_per_gap)
+        open_gaps = {g for g, (n, _) in enumerate(self.gaps) if n > self.rows_per_gap}
+        for goal in self.goals:
+            if abs(self.bytes_below[self._best(goal)] - goal) > self.allowed:
+                open_gaps.add(max(0, bisect_left(self.bytes_below, goal, 0, self.n_regular) - 1))
         more = set()
         for gap in open_gaps:
-            low, high = self._ends(gap)
-            more.update(low + (high - low) * i // (PROBES_PER_GAP + 1) for i in range(1, PROBES_PER_GAP + 1))
-        return {p for p in more if p > 0} - set(self.probes)
+            low, high = self.edges[gap], self.edges[gap + 1] if gap + 1 < len(self.edges) else self.end
+            width = high - low
+            inside = {low + width * i // (PROBES_PER_GAP + 1) for i in range(1, PROBES_PER_GAP + 1)}
+            if width > 1 << DOC_BITS:  # between texts; inside one only once it is alone in its gap
+                inside = {p >> DOC_BITS << DOC_BITS for p in inside} | {(p >> DOC_BITS) + 1 << DOC_BITS for p in inside}
+            elif self.gaps[gap][1] <= self.large and self.gaps[gap][0] <= self.rows_per_gap:
+                continue
+            more |= {p for p in inside if low < p < high}
+        return more - set(self.probes)
 
     def cuts(self) -> list[int]:
-        """The first gap of each shard but the first.
-
-        Near the goal the edge between two texts is taken if one is within the slack, else the
-        nearest candidate: a group of equal texts is split only where it is too large to move.
-        """
-        out = []
-        slack = GROUP_SLACK * self.n_bytes / self.shards
-        for goal in self._goals():
-            k = bisect_left(self.bytes_below, goal)
-            best = min((j for j in (k - 1, k) if 0 <= j < len(self.bytes_below)), key=lambda j: abs(self.bytes_below[j] - goal), default=0)
-            around = [j for j in range(max(0, best - 64), min(len(self.edges), best + 65)) if abs(self.bytes_below[j] - goal) <= slack and self.edges[j] % (1 << DOC_BITS) == 0]
-            out.append(max(min(around, key=lambda j: abs(self.bytes_below[j] - goal), default=best), out[-1] if out else 0))
+        """The first gap of each shard but the first."""
+        out: list[int] = []
+        for goal in self.goals:
+            out.append(max(self._best(goal), out[-1] if out else 0))
         return out
 
 
+def deal_groups(sizes: list[int], n_bytes: int, shards: int) -> tuple[list[int | None], list[int]]:
+    """A shard for each large group, the largest first to the emptiest; None where it fits in none."""
+    load, out = [0] * shards, [None] * len(sizes)
+    room = n_bytes / shards * (1 + TOLERANCE)
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        least = min(range(shards), key=lambda s: load[s])
+        if load[least] + sizes[i] <= room:
+            out[i] = least
+            load[least] += sizes[i]
+    return out, load
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rows_per_gap: int | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with ``shard`` and ``slot`` (gapless from 0 within a shard).
 
     ``docs`` needs ``doc_id`` and ``text``. A row's size is its text's UTF-8 bytes plus 1; a null text
     has none, and null texts count as equal. Shards get nearly equal bytes: a cut is off by at most
-    ``TOLERANCE`` of a shard, or ``GROUP_SLACK`` where that keeps equal texts together, or by one row
-    or set of rows with equal keys where those are larger. Repeated rows (same text and doc_id)
-    share a key and stay together. Fewer rows than shards leave shards empty; no rows give no rows.
-    Columns named ``shard`` or ``slot`` are replaced, as are those that begin with ``shard_``.
+    ``TOLERANCE`` of a shard, or by one document or group of equal texts of up to ``GROUP_SLACK`` of a
+    shard. Equal texts share a shard unless together they fit in none. Repeated rows (same text and
+    doc_id) share a key and stay together. Fewer rows than shards leave shards empty; no rows give no
+    rows. Columns named ``shard`` or ``slot`` are replaced, as are those that begin with ``shard_``.
     """
     docs = docs.drop("shard", "slot", "shard_key", "shard_gap", "shard_base")
     columns = docs.columns
     keys = stage(docs.select(shard_key().alias("key"), row_size().alias("size")), "keys")
-    n_rows = keys.count()
-    found = Histogram(keys, shards, rows_per_gap or min(max(1000, n_rows // 512), 200_000))
-    cuts = found.cuts()
-    shard_of = np.searchsorted(np.array(cuts, np.int64), np.arange(len(found.edges)), side="right")
-    base = [0, *[found.rows_below[c] for c in cuts]]
-    gaps = docs.sparkSession.createDataFrame(
-        [(g, int(s), found.rows_below[g] - base[s]) for g, s in enumerate(shard_of.tolist())], "shard_gap int, shard int, shard_base long"
-    )  # one row per candidate key: a few thousand, or one for about 100,000 rows of input
-    dealt = docs.withColumn("shard_key", shard_key()).withColumn("shard_gap", gap_of(F.col("shard_key"), found.edges))
-    placed = dealt.withColumn("slot", F.row_number().over(Window.partitionBy("shard_gap").orderBy("shard_key", "doc_id", "text")))
+    n_rows, n_bytes = keys.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    rows_per_gap = rows_per_gap or min(max(1000, n_rows // 512), 200_000)
+    target = n_bytes / shards
+    # At most shards / GROUP_SLACK groups are that large.
+    large = keys.groupBy(F.shiftright("key", DOC_BITS).alias("text")).agg(F.sum("size").alias("size"), F.count("*").alias("n")).filter(F.col("size") > GROUP_SLACK * target).filter("n > 1").orderBy("text").collect()
+    dealt, load = deal_groups([r["size"] for r in large], n_bytes, shards)
+    moved = [(r.text, shard) for r, shard in zip(large, dealt, strict=True) if shard is not None]
+    texts = np.array([t for t, _ in moved], np.int64)
+    goals = np.cumsum([max(0.0, target - x) for x in load])[:-1].tolist()
+    found = Histogram(moved_keys(keys, texts), goals, len(moved), TOLERANCE * target, GROUP_SLACK * target, rows_per_gap)
+    shard_of = np.searchsorted(np.array(found.cuts(), np.int64), np.arange(found.n_regular), side="right").tolist()
+    shard_of += [moved[(edge - KEY_END) >> DOC_BITS][1] for edge in found.edges[found.n_regular :]]
+    places, filled = [], [0] * shards
+    for gap, (shard, (n, _)) in enumerate(zip(shard_of, found.gaps, strict=True)):
+        places.append((gap, int(shard), filled[shard]))
+        filled[shard] += n
+    # One row per candidate key: a few thousand, or one for about 100,000 rows of input.
+    gaps = docs.sparkSession.createDataFrame(places, "shard_gap int, shard int, shard_base long")
+    keyed = docs.withColumn("shard_key", shard_key()).withColumn("shard_gap", gap_of(F.col("shard_key"), found.edges, texts))
+    placed = keyed.withColumn("slot", F.row_number().over(Window.partitionBy("shard_gap").orderBy("shard_key", "doc_id", "text")))
     return placed.join(F.broadcast(gaps), "shard_gap").select(*columns, "shard", (F.col("slot") - 1 + F.col("shard_base")).alias("slot"))
 
 
-def gap_of(key, edges: list[int]):
-    """The last edge at or below the key."""
+def move(keys: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Keys of moved groups (``texts``, ascending) behind all others, in that order."""
+    if not len(texts):
+        return keys
+    text = keys >> DOC_BITS
+    rank = np.searchsorted(texts, text).clip(0, len(texts) - 1)
+    return np.where(texts[rank] == text, KEY_END + (rank << DOC_BITS) + (keys & ((1 << DOC_BITS) - 1)), keys)
+
+
+def moved_keys(keys: DataFrame, texts: np.ndarray) -> DataFrame:
+    if not len(texts):
+        return keys
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(move(batch.column(0).to_numpy(), texts)), batch.column(1)], ["key", "size"])
+
+    return stage(keys.mapInArrow(run, "key long, size long"), "moved")
+
+
+def gap_of(key, edges: list[int], texts: np.ndarray):
+    """The last edge at or below the key, moved if its group is."""
     ends = np.array(edges, np.int64)
 
     @F.pandas_udf("int")
     def find(keys):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(ends, keys.to_numpy(), side="right") - 1)
+        return pd.Series(np.searchsorted(ends, move(keys.to_numpy(), texts), side="right") - 1)
 
     return find(key)
