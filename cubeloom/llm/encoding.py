@@ -143,3 +143,8 @@ def encoder(name: str, max_chunks: int = 500_000) -> ChunkEncoder:
     if (name, max_chunks) not in _ENCODERS:
         _ENCODERS[name, max_chunks] = ChunkEncoder(name, max_chunks)
     return _ENCODERS[name, max_chunks]
+
+
+def release() -> None:
+    """Forget everything: operators that do not tokenize call this, as a worker serves one after another."""
+    _ENCODERS.clear()
