@@ -38,7 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="shared-")
+        folder = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 

@@ -21,8 +21,9 @@ from cubeloom.llm.common import stage
 SEED = "mixture-1"
 #: Target weights: the present share to this power, so large sources are sampled down a little.
 TEMPERATURE = 0.7
-#: Rates of more sources than this are not broadcast but joined by a salted exchange.
+#: Rates of more sources, or distributions of more numbers, are not broadcast but joined by a salted exchange.
 MAX_BROADCAST_SOURCES = 50_000
+MAX_BROADCAST_NUMBERS = 5_000_000
 SALTS = 64
 
 _RATES = "mix_source string, mix_rate double, mix_least long, mix_cdf array<double>"
@@ -92,7 +93,8 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, temperature:
     columns = docs.columns
     rates = source_rates(docs, weights, temperature)
     keyed = docs.withColumn("mix_source", _key(F.col("source")))
-    if rates.count() <= MAX_BROADCAST_SOURCES:
+    n_sources, n_numbers = rates.agg(F.count("*"), F.coalesce(F.sum(F.size("mix_cdf")), F.lit(0))).first()
+    if n_sources <= MAX_BROADCAST_SOURCES and n_numbers <= MAX_BROADCAST_NUMBERS:
         joined = keyed.join(F.broadcast(rates), "mix_source")
     else:  # a source may hold a third of all rows: its rows are dealt over the salts
         salted = keyed.withColumn("mix_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
