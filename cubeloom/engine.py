@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom.catalog import Catalog, reflection_rows
-from cubeloom.errors import AuthError, CompileError, EngineError, FederationError, PlaceholderError, unknown
-from cubeloom.model import META, QUANTILES, AuthContext, Cube, DerivedTable, Dimension, Measure, TimeDimension
+from cubeloom.errors import AuthError, CompileError, EngineError, unknown
+from cubeloom.model import META, QUANTILES, AuthContext, Cube, DerivedTable, Dimension, Measure
 from cubeloom.operators.aggregates import PARTS, combine, measure_column, measure_value, partial, total
 from cubeloom.operators.fragments import column, restrict, substitute
 from cubeloom.operators.predicates import filter_column, tree_column
@@ -585,4 +585,3 @@ def _meta(plan: LogicalPlan, df: DataFrame) -> tuple[ColumnMeta, ...]:
     return tuple(out)
 
 
-__all__ = ["ColumnMeta", "Compiled", "Engine", "FederationError", "PlaceholderError", "TimeDimension"]

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from cubeloom.catalog import Catalog
 from cubeloom.engine import Compiled, Engine
-from cubeloom.errors import FederationError, FilterTypeError
+from cubeloom.errors import FederationError
 from cubeloom.model import ADDITIVE, AuthContext, Dimension
 from cubeloom.plans.logical import LogicalPlan, Resolver, build_plan, equal_columns
-from cubeloom.query import BoolExpr, Filter, SemanticQuery, SemiJoin
+from cubeloom.query import SemanticQuery, SemiJoin
 
 MODES = ("distributive", "raw_rows")
 #: Aggregates that partial results of a source can be combined from.
@@ -229,4 +229,3 @@ def run(engine: Engine, q: SemanticQuery, *, viewer: AuthContext | None = None,
     return compile_federated(engine, auto.query, mode=mode, viewer=viewer, context=context)
 
 
-__all__ = ["AutoPlan", "BoolExpr", "Filter", "FilterTypeError", "autoplan", "collapse_grain", "compile_federated", "compile_semi_joins", "run"]

@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cubeloom.engine import Engine
-from cubeloom.errors import AuthError, FilterTypeError, MutationError, unknown
-from cubeloom.instant import parse_instant
+from cubeloom.errors import AuthError, MutationError, unknown
 from cubeloom.model import AuthContext, Cube, MutableEntity
 from cubeloom.operators.predicates import filter_column, literal
 from cubeloom.plans.logical import bind_kind
@@ -201,4 +200,3 @@ def _delete(engine, m, e, cube, table, tenant, viewer):
     return table.filter(condition), table.filter(~condition)
 
 
-__all__ = ["CompiledMutation", "FilterTypeError", "Mutation", "compile_mutation", "parse_instant"]

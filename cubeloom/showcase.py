@@ -15,7 +15,7 @@ from cubeloom.functions.lookups import enrich
 from cubeloom.functions.units import Units
 from cubeloom.model import META, AuthContext, Cube, DerivedTable, Dimension, Entity, Join, Lookup, Measure, NamedCTE, Rollup, ScopePredicate, Segment, TimeDimension, TimePartition, TimePartitionedSource, View
 from cubeloom.query import BoolExpr, CompareWindow, Filter, InlineDerived, SavedQuery, SemanticQuery, SemiJoin, TimeWindow
-from cubeloom.sources import Files, Frames, Sources
+from cubeloom.sources import Files, Sources
 from cubeloom.tools import rewrite
 
 DECIMALS = 4
@@ -342,4 +342,3 @@ def oracles() -> dict[str, str]:
     return {name: sql for name, (_, sql) in cases().items() if sql}
 
 
-__all__ = ["Frames", "catalog", "engine", "oracles", "queries"]
