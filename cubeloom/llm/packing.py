@@ -6,8 +6,9 @@ set bit at or above its length). Where none fits and all places are taken, the f
 closed first.
 
 Every task packs the pieces of its own rows in one pass over the texts and without a shuffle, a window
-of pieces at a time, the longest of it first, so short ones fill what long ones leave. The few bins still open at a task's end are then packed as pieces themselves, the fullest
-first, within groups of neighbouring tasks, so small tasks do not leave half-empty sequences.
+of pieces at a time, the longest of it first, so short ones fill what long ones leave. The bins still
+open at a task's end are then packed as pieces themselves, the fullest first, within groups of
+neighbouring tasks, so small tasks do not leave half-empty sequences.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext

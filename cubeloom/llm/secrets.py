@@ -10,7 +10,6 @@ role, so the join is linear in the parts and never makes all pairs.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from bisect import bisect_left
