@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -152,22 +152,21 @@ def catalog() -> Catalog:
     )
 
 
-def engine(spark: SparkSession, sf_dir: str) -> Engine:
+def engine(spark: SparkSession, sf_dir: str, known: Catalog | None = None) -> Engine:
     """The catalog over the files of a folder; events also as a daily rollup and as two tables."""
     files = Files(sf_dir)
-    events = files.load(spark, "events")
     split = F.lit(SPLIT).cast("timestamp_ntz")
-    made = {
-        "events_daily": events.groupBy("event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts_day")).agg(F.count("*").alias("event_count"), F.sum("value").alias("value"), F.max("value").alias("top_value")),
-        "events_archive": events.filter(F.col("ts") < split).withColumnRenamed("value", "amount"),
-        "events_live": events.filter(F.col("ts") >= split),
+    made: dict[str, Callable[[DataFrame], DataFrame]] = {
+        "events_daily": lambda e: e.groupBy("event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts_day")).agg(F.count("*").alias("event_count"), F.sum("value").alias("value"), F.max("value").alias("top_value")),
+        "events_archive": lambda e: e.filter(F.col("ts") < split).withColumnRenamed("value", "amount"),
+        "events_live": lambda e: e.filter(F.col("ts") >= split),
     }
 
     class Main:
         def load(self, spark: SparkSession, table: str) -> DataFrame:
-            return made[table] if table in made else files.load(spark, table)
+            return made[table](files.load(spark, "events")) if table in made else files.load(spark, table)
 
-    return Engine(spark, catalog(), Sources(spark, main=Main(), elsewhere=files))
+    return Engine(spark, known or catalog(), Sources(spark, main=Main(), elsewhere=files))
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -195,6 +194,12 @@ def _plain(query: SemanticQuery, **how) -> Callable[[Engine], DataFrame]:
     return lambda e: e.query(query, **how)
 
 
+@cache
+def _shared_catalog() -> Catalog:
+    return catalog()
+
+
+@cache
 def cases() -> dict[str, tuple[Callable[[Engine], DataFrame], str | None]]:
     """By name: what the engine is asked, and the same in DuckDB's SQL."""
     d = f"round({{}}, {DECIMALS})"
@@ -331,7 +336,7 @@ def _second_page(e: Engine) -> DataFrame:
 
 
 def run_case(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(cases()[name][0](engine(spark, sf_dir)))
+    return rounded(cases()[name][0](engine(spark, sf_dir, _shared_catalog())))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
