@@ -79,4 +79,5 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op6_poisson_mixture": mixing.ORACLE,
+    "op9_partenum_join": partenum.ORACLE,
 }
