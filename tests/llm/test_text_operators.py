@@ -315,3 +315,21 @@ def test_long_texts_take_linear_time():
     merkle.tree(text)
     quality.statistics(text)
     assert time.perf_counter() - began < 20
+
+
+def test_long_weak_candidates_are_found_whole(spark):
+    secret = "".join(random.Random(6).choice("ABCDEFGHabcdefgh0123456789") for _ in range(200))
+    url, login = "https://a.example/" + "p/" * 241, "login = " + "ann." * 25
+    texts = [f"user = ann {secret} end", f"see {url} token=abcdef123456 end", f"{login} token=abcdef123456 end", f"user{' ' * 20}={' ' * 20}ann {secret} end"]
+    want = ["[SECRET] [SECRET] end", "see [SECRET] [SECRET] end", "[SECRET] [SECRET] end", "[SECRET] [SECRET] end"]
+    rows = secrets.mask_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.text for r in sorted(rows)] == want
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for piece in ("user ", "user=", "user" + " " * 1000, "a1", "https://", "https://a.b/c ", "jdbc:a", "x" * 1000):
+        secrets.scan(piece * (2_000_000 // len(piece)))
+    assert time.perf_counter() - began < 60
