@@ -15,7 +15,6 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +25,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _ASSIGN_LENGTH = 12
+_BARE_LENGTH = 20
 #: Weak candidates, of any length; each part of a pattern is one run, so a scan is linear.
 _LOGIN = re.compile(r"""\b(?:user(?:name)?|login|client_?id|account|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", re.I | re.A)
 _BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
@@ -62,26 +62,34 @@ def entropy(token: str) -> float:
 
 
 def weak_spans(text: str, strong: list[Span]) -> list[Span]:
-    """Candidates that only count together; none overlaps a strong finding of its role."""
+    """Candidates that only count together; none overlaps a strong finding of its role.
+
+    An access key is an identifier: its characters do not make a bare token, those beside it may.
+    """
     found = []
     if "=" in text or ":" in text:
         found += [(m.start(), "login", m.end()) for m in _LOGIN.finditer(text)]
     if "://" in text:
         found += [(m.start(), "endpoint", m.end()) for m in _ENDPOINT.finditer(text)]
-    for m in _BARE.finditer(text):
-        token = m[0]
-        if any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and entropy(token) >= MIN_ENTROPY:
-            found.append((m.start(), "bare", m.end()))
-    starts = [s for s, _, _ in strong]
-    reach = list(accumulate((e for _, _, e in strong), max))  # the furthest end so far
+    found += [(m.start(), "bare", m.end()) for m in _BARE.finditer(text) if any(map(_random, _ACCESS.split(m[0])))]
+    own: dict[str, tuple[list[int], list[int]]] = {}  # per role the starts, and the furthest end so far
+    for start, kind, end in strong:
+        starts, reach = own.setdefault(ROLE[kind], ([], []))
+        starts.append(start)
+        reach.append(max(end, reach[-1]) if reach else end)
 
     def free(span: Span) -> bool:
+        starts, reach = own.get(ROLE[span[1]], ((), ()))
         k = bisect_left(starts, span[2])
         return not k or reach[k - 1] <= span[0]
 
     return [s for s in found if free(s)]
 
 
+def _random(token: str) -> bool:
+    return len(token) >= _BARE_LENGTH and any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and entropy(token) >= MIN_ENTROPY
+
+
 def linked(text: str, strong: list[Span], weak: list[Span]) -> list[Span]:
     """The weak candidates with a complementary part in their scope, at most REACH characters away."""
     if not weak:
