@@ -27,7 +27,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _ASSIGN_LENGTH = 12
 _BARE_LENGTH = 20
 #: Weak candidates, of any length; each part of a pattern is one run, so a scan is linear.
-_LOGIN = re.compile(r"""\b(?:user(?:name)?|login|client_?id|account|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", re.I | re.A)
+_LOGIN = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:name)?|login|client_?id|account|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", re.I | re.A)
 _BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(r"\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]{3,}", re.A)
 
