@@ -95,17 +95,19 @@ def linked(text: str, strong: list[Span], weak: list[Span]) -> list[Span]:
     if not weak:
         return []
     breaks = [m.start() for m in re.finditer(r"\n[^\S\n]*\n", text)]
-    scoped: dict[tuple[int, str], list[tuple[int, int]]] = {}
+    scoped: dict[tuple[int, str], tuple[list[int], list[int]]] = {}  # the starts, and the furthest end so far
     for start, kind, end in sorted([*strong, *weak], key=_order):
-        scoped.setdefault((bisect_left(breaks, start), ROLE[kind]), []).append((start, end))
+        starts, reach = scoped.setdefault((bisect_left(breaks, start), ROLE[kind]), ([], []))
+        starts.append(start)
+        reach.append(max(end, reach[-1]) if reach else end)
     out = []
     for span in weak:
         start, kind, end = span
         scope = bisect_left(breaks, start)
         for role in COMPLEMENTS[ROLE[kind]]:
-            parts = scoped.get((scope, role), ())
-            k = bisect_left(parts, (start,))
-            if (k < len(parts) and parts[k][0] - end <= REACH) or (k and start - parts[k - 1][1] <= REACH):
+            starts, reach = scoped.get((scope, role), ((), ()))
+            k = bisect_left(starts, start)
+            if (k < len(starts) and starts[k] - end <= REACH) or (k and start - reach[k - 1] <= REACH):
                 out.append(span)
                 break
     return out

@@ -390,3 +390,13 @@ def test_logins_behind_an_underscore(name):
     assert [(k, text[s:e].split("=")[1]) for s, k, e in secrets.scan(text)[1]] == [("login", "admin"), ("bare", "Xy9Kq2LmN8vB4tR7wZ1c")]
     assert [k for _, k, _ in secrets.scan(f"AWS_ACCESS_KEY_ID=mine {'0' * 16}")[1]] == ["login", "hex"]
     assert secrets.scan("superuser=admin DB_PASS=Xy9Kq2LmN8vB4tR7wZ1c")[1] == []
+
+
+@pytest.mark.parametrize("gap", [0, 1, 100, 299, 300, 301])
+def test_a_long_part_reaches_from_its_own_end(gap):
+    """An early hex run inside a long assigned value does not hide where the value ends."""
+    text = "token=" + "g" * 44 + "0123456789abcdef" + "z" * 934 + " " * gap + "@login=ann"
+    found = secrets.scan(text)[1]
+    assert [(k, s, e) for s, k, e in found][:2] == [("assign", 0, 1000), ("hex", 50, 66)]
+    assert ("login" in [k for _, k, _ in found]) == (gap + 1 <= secrets.REACH)
+    assert set(found) == plain_findings(text)
