@@ -98,8 +98,7 @@ def _pack(batches: Iterable[pa.RecordBatch], vocabulary: str, capacity: int, ope
 
     window: list[tuple] = []
     for batch in batches:
-        texts = (t.as_py() or "" for t in batch.column(1))
-        for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_many(texts), strict=True):
+        for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_array(batch.column(1)), strict=True):
             ids += END_ID
             n = len(ids) // 4
             for k, at in enumerate(range(0, n, capacity)):

@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from cubeloom.llm.common import stage
-from cubeloom.llm.encoding import release
 from cubeloom.llm.shingles import mix, set_id, shingle_set
 
 #: Similar means 100 * intersection >= 75 * union; the bounds below rest on it.
@@ -112,7 +111,6 @@ def signatures(shingles: np.ndarray) -> tuple[np.ndarray, int, int]:
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    release()
     for batch in batches:
         rows = []
         for cell in batch.column(1):
@@ -124,7 +122,6 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    release()
     seen: set[int] = set()
     for batch in batches:
         nodes, tokens = [], []
@@ -157,7 +154,6 @@ def histogram(shingles: np.ndarray) -> np.ndarray:
 
 
 def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    release()
     for batch in batches:
         sets = [shingle_set(c.as_py()) for c in batch.column(0)]
         yield pa.RecordBatch.from_arrays(

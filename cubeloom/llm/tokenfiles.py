@@ -152,12 +152,11 @@ class TokenFileReader:
 
 def _write(batches: Iterable[pa.RecordBatch], folder: str, vocabulary: str) -> Iterator[pa.RecordBatch]:
     enc = encoder(vocabulary)
-    width = 2 if len(enc.n_bytes) <= 1 << 16 else 4
+    width = 2 if enc.n_ids <= 1 << 16 else 4
     writer, path, first, files = None, "", None, None
     for batch in batches:
         doc_ids = batch.column(0).to_pylist()
-        texts = (t.as_py() or "" for t in batch.column(1))
-        for doc_id, ids in zip(doc_ids, enc.encode_many(texts), strict=True):
+        for doc_id, ids in zip(doc_ids, enc.encode_array(batch.column(1)), strict=True):
             if writer is None:
                 files, root = open_fs(folder)
                 path, first = f"{root}/{uuid.uuid4().hex}.tok", doc_id

@@ -7,8 +7,6 @@ import zlib
 
 import numpy as np
 
-from cubeloom.llm.encoding import release
-
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -21,7 +19,6 @@ class HashedWords:
     """Counts of a text's lower-case words by hash; the hashes of words met are remembered, up to a bound."""
 
     def __init__(self, bits: int, max_words: int = 200_000):
-        release()
         self.mask, self.max_words = (1 << bits) - 1, max_words
         self.known: dict[str, int] = {}
 

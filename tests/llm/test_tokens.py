@@ -11,7 +11,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cubeloom.llm import packing, tokenfiles
-from cubeloom.llm.encoding import ChunkEncoder, encoder
+from cubeloom.llm import encoding
+from cubeloom.llm.encoding import PieceEncoder, encoder
 
 pytest.importorskip("public_tokenizers")
 VOCABULARIES = ("byte_bpe_50k.json", "word_bpe_49k.json")
@@ -21,8 +22,8 @@ def plain(name, text):
     return encoder(name).tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from(["a", "The", " ", "  ", "\n", "\n\n", "\t", ".", "'s", "é", "é", "İ", "ß", "ﬁ", "日本", "\x1c", "\u0085", " ", "123", "<|endoftext|>", "don't", "x" * 70, "\U0001f600"]), max_size=14), st.sampled_from(VOCABULARIES))
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "The", " ", "  ", "\n", "\n\n", "\t", ".", "'s", "é", "é", "İ", "ß", "ﬁ", "日本", "\x1c", "\u0085", " ", "123", "4", "\r\n", "\u3000", "\u2009", "\u0301", "\u0130", "\u0178", "\xd7", "\xf7", "\xb5", "'", "'S", "ll", "_", "...", "?!", "\x00", "\u00b2", "\u01c5", "\ud55c", "<|endoftext|>", "don't", "x" * 70, "\U0001f600"]), max_size=20), st.sampled_from(VOCABULARIES))
 def test_chunks_give_the_same_ids(parts, name):
     text = "".join(parts)
     assert np.frombuffer(encoder(name).encode(text), "<u4").tolist() == plain(name, text)
@@ -30,10 +31,23 @@ def test_chunks_give_the_same_ids(parts, name):
 
 def test_forgetting_changes_nothing(real):
     texts = [r.text for r in real.limit(60).collect()]
-    small = ChunkEncoder(VOCABULARIES[0], max_chunks=50)
+    small = PieceEncoder(VOCABULARIES[0], max_bytes=40_000)
     assert [np.frombuffer(b, "<u4").tolist() for b in small.encode_many(texts)] == [plain(VOCABULARIES[0], t) for t in texts]
 
 
+@pytest.mark.parametrize("name", VOCABULARIES)
+def test_long_texts_are_encoded_in_parts(name, monkeypatch):
+    monkeypatch.setattr(encoding, "BATCH_BYTES", 200)
+    texts = ["word, d\u00e9j\u00e0 vu 12 " * 60, None, "x" * 900, "a", "", "odd\u00a0space " * 40, " " * 450 + "end", "1 " * 300, "tail" + "\n" * 300]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder(name).encode_many(texts)] == [plain(name, t) for t in texts]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=12), st.text("ab1 \n.'\u00e9\u00a0", max_size=12)), max_size=8), st.sampled_from(VOCABULARIES))
+def test_texts_of_a_batch_do_not_meet(texts, name):
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder(name).encode_many(texts)] == [plain(name, t) for t in texts]
+
+
 def expected(rows, name):
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
