@@ -43,6 +43,7 @@ class Leaf:
 class Node:
     hash: bytes
     children: tuple
+    size: int  # characters in its leaves
 
 
 def _digest(data: bytes) -> bytes:
@@ -52,7 +53,7 @@ def _digest(data: bytes) -> bytes:
 
 
 def _parent(level: bytes, children: list) -> Node:
-    return Node(_digest(level + b"".join(c.hash for c in children)), tuple(children))
+    return Node(_digest(level + b"".join(c.hash for c in children)), tuple(children), sum(map(n_chars, children)))
 
 
 def leaves(line: str, start: int) -> list[Leaf]:
@@ -88,44 +89,61 @@ def all_leaves(node) -> Iterator[Leaf]:
             yield from all_leaves(child)
 
 
-def weights(root: Node) -> Counter:
-    """Characters by leaf hash; an empty leaf counts as one."""
-    out: Counter = Counter()
-    for section in root.children:
-        for paragraph in section.children:
-            for leaf in paragraph.children:
-                out[leaf.hash] += max(1, leaf.end - leaf.start)
-    return out
+def n_chars(node) -> int:
+    """Characters in a node's leaves; an empty leaf counts as one."""
+    return max(1, node.end - node.start) if isinstance(node, Leaf) else node.size
+
 
+def descend(a: list, b: list) -> tuple[int, list[Leaf]]:
+    """Two levels of two trees from the top: the characters in branches that both have, and the leaves of ``a`` in none.
 
-def likeness(a: Counter, b: Counter) -> float:
-    """Twice the characters in leaves that both have over the characters of both; 1 for equal fingerprints."""
-    if len(b) < len(a):
-        a, b = b, a
-    shared = sum(min(n, b[h]) for h, n in a.items() if h in b)
-    return 2 * shared / (a.total() + b.total())
+    Equal branches are paired off, each with one, and not looked into; the children of the others are
+    the next level. So all equal leaves are paired in the end, whatever branch they moved to.
+    """
+    shared, left = 0, []
+    while a:
+        theirs = Counter(node.hash for node in b)
+        rest = []
+        for node in a:
+            if theirs[node.hash]:
+                theirs[node.hash] -= 1
+                shared += n_chars(node)
+            else:
+                rest.append(node)
+        if not rest or isinstance(rest[0], Leaf):
+            left = rest
+            break
+        other = []
+        for node in b:
+            if theirs[node.hash]:
+                theirs[node.hash] -= 1
+                other.append(node)
+        a, b = [c for node in rest for c in node.children], [c for node in other for c in node.children]
+    return shared, left
+
+
+def compare(a: Node, b: Node) -> tuple[float, list[Leaf]]:
+    """Likeness, and the leaves of ``a`` that are not in ``b``.
+
+    Likeness is twice the characters in branches that both have over the characters of both: 1 for
+    equal fingerprints, 0 where no leaf is the same.
+    """
+    shared, left = descend([a], [b])
+    return 2 * shared / (a.size + b.size), left
 
 
 def differing(a: Node, b: Node) -> list[tuple[int, int]]:
-    """Character ranges of ``a`` whose leaves are not in ``b``: equal branches are not looked into."""
-    if a.hash == b.hash:
-        return []
-    known = {s.hash for s in b.children}
-    paragraphs = {p.hash for s in b.children for p in s.children}
-    left = {leaf.hash for leaf in all_leaves(b)}
+    """Character ranges of ``a`` whose leaves are not in ``b``; leaves side by side make one range."""
+    return ranges(compare(a, b)[1])
+
+
+def ranges(left: list[Leaf]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for section in a.children:
-        if section.hash in known:
-            continue
-        for paragraph in section.children:
-            if paragraph.hash in paragraphs:
-                continue
-            for leaf in paragraph.children:
-                if leaf.hash not in left:
-                    if out and out[-1][1] == leaf.start:
-                        out[-1] = (out[-1][0], leaf.end)
-                    else:
-                        out.append((leaf.start, leaf.end))
+    for leaf in left:
+        if out and out[-1][1] >= leaf.start - 1:  # a newline at most between
+            out[-1] = (out[-1][0], leaf.end)
+        else:
+            out.append((leaf.start, leaf.end))
     return out
 
 
@@ -135,14 +153,17 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-_ROWS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_ROWS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edits string"
+
+#: Below every hash: the place of rows whose doc_id is in one range alone.
+LEAST = -(1 << 63)
 
 
 def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by range, in order, each range's look-ahead last. One document is held back."""
     names = [c.split()[0] for c in _ROWS.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    held = None  # range, doc_id, text, tree, weights
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
+    held = None  # range, doc_id, text, tree
     for batch in batches:
         rows = []
         for span, ahead, doc_id, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
@@ -152,60 +173,86 @@ def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue  # more than one look-ahead row with the same doc_id
             text = cell.as_py()
             root = tree(text)
-            bag = weights(root)
             if held is not None:
-                _, before_id, before, before_root, before_bag = held
+                _, before_id, before, before_root = held
                 other = edited(before, text)
                 other_root = tree(other)
-                near = 1.0 if other_root.hash == before_root.hash else likeness(before_bag, weights(other_root))
-                beside = 1.0 if root.hash == before_root.hash else likeness(before_bag, bag)
+                near, left = compare(other_root, before_root)
+                beside, _ = compare(root, before_root)
                 sha = hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest()
-                rows.append((before_id, len(before), sha, before_root.hash.hex(), other_root.hash.hex(), near, beside))
-            held = None if ahead else (span, doc_id, text, root, bag)
+                edits = ",".join(f"{a}:{b}" for a, b in ranges(left))
+                rows.append((before_id, len(before), sha, before_root.hash.hex(), other_root.hash.hex(), near, beside, edits))
+            held = None if ahead else (span, doc_id, text, root)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
-def range_starts(docs: DataFrame) -> list[int]:
-    """Ascending doc_ids that begin ranges of about ROWS_PER_RANGE rows; each is a doc_id of the table."""
-    n = docs.count()
+def range_starts(rows: DataFrame) -> list[tuple[int, int]]:
+    """Ascending (id, hash) of rows of the table that begin ranges of about ROWS_PER_RANGE rows.
+
+    A range begins with all rows of an id (the hash is then LEAST); an id with so many rows that
+    it fills ranges alone is cut by the hash of the text.
+    """
+    n = rows.count()
     parts = min(MAX_RANGES, max(1, n // ROWS_PER_RANGE), n)
     if not parts:
         return []
-    found = docs.agg(F.min("doc_id").alias("least"), F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10 * parts).alias("q")).first()
-    return sorted({found.least, *(found.q if parts > 1 else [])} - {None})
+    found = rows.agg(F.min("id").alias("least"), F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 10 * parts).alias("q")).first()
+    often = Counter([found.least, *(found.q if parts > 1 else [])])
+    split = {i: k for i, k in often.items() if k > 2}
+    if not split:
+        return [(i, LEAST) for i in sorted(often)]
+    # Where an id is cut, ranges begin with the first row that is there.
+    starts = sorted([(i, LEAST) for i in often] + [(i, LEAST + (k << 64) // n) for i, n in split.items() for k in range(1, n)])
+    hot = F.col("id").isin(list(split))
+    firsts = rows.filter(hot).select(_span(starts, set(split))("id", "h").alias("span"), "id", "h").groupBy("span", "id").agg(F.min("h").alias("h")).collect()  # one row a range
+    return sorted([(i, LEAST) for i in often if i not in split] + [(r.id, r.h) for r in firsts])
+
+
+def _span(starts: list[tuple[int, int]], split: set[int]):
+    @F.pandas_udf("int")
+    def of(ids, hashes):
+        import pandas as pd
+
+        return pd.Series([bisect_right(starts, (i, h if i in split else LEAST)) - 1 for i, h in zip(ids.tolist(), hashes.tolist(), strict=True)], dtype="int32")
+
+    return of
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Per document its fingerprint, that of its edited text, and how alike they and the next one's are.
 
-    ``docs`` needs ``doc_id`` and ``text``; other columns are not read. The edited text is the text
-    with its last floor(n / 4) code points replaced by the first as many of the next document in
-    ascending doc_id order; the last one's next is the first, a single document's is itself. A null
-    text is empty. Rows with the same doc_id follow one another in text order, rows without one come
-    first. Two empty texts are alike. No documents: no rows.
+    ``docs`` needs ``doc_id`` and ``text``; other columns are not read, whatever their names. The
+    edited text is the text with its last floor(n / 4) code points replaced by the first as many of the
+    next document in ascending doc_id order; the last one's next is the first, a single document's is
+    itself. ``edits`` has the character ranges of the edited text that the trees locate as new. A null
+    text is empty, a long one makes a tree as deep as any. Rows with the same doc_id follow one another in
+    text order (by the text's hash where one doc_id has thousands of rows), rows without one come first.
+    Two empty texts are alike. No documents: no rows.
 
     The texts are exchanged once, by ranges of doc_id. Only the first row of each range is sent
     twice, as the look-ahead of the range before.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    starts = range_starts(rows.select(F.col("id").alias("doc_id")))
-
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    starts = range_starts(rows)
+    split = {i for i, h in starts if h != LEAST}
     last = max(0, len(starts) - 1)
 
     @F.pandas_udf("array<struct<span:int,ahead:boolean>>")
-    def places(ids):
+    def places(ids, hashes):
         import pandas as pd
 
-        def of(i):
-            k = bisect_right(starts, i) - 1
+        def of(i, h):
+            key = (i, h if i in split else LEAST)
+            k = bisect_right(starts, key) - 1
             own = {"span": k, "ahead": False}
             # The first row of a range looks ahead for the range before; the very first for the last one.
-            return [own, {"span": k - 1 if k else last, "ahead": True}] if starts[k] == i else [own]
+            return [own, {"span": k - 1 if k else last, "ahead": True}] if starts[k] == key else [own]
 
-        return pd.Series([of(i) for i in ids.tolist()], dtype=object)
+        return pd.Series([of(i, h) for i, h in zip(ids.tolist(), hashes.tolist(), strict=True)], dtype=object)
 
-    both = rows.withColumn("at", F.explode(places("id")))
-    dealt = both.select("at.span", "at.ahead", "id", "text").repartition("span").sortWithinPartitions("span", "ahead", "id", "text")
-    out = dealt.mapInArrow(_neighbours, _ROWS)
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63))))
+    both = rows.withColumn("at", F.explode(places("id", "h")))
+    order = F.when(F.col("id").isin(list(split)), F.col("h")).otherwise(F.lit(0)) if split else F.lit(0)
+    dealt = both.select("at.span", "at.ahead", "id", "text", order.alias("h")).repartition("span").sortWithinPartitions("span", "ahead", "id", "h", "text")
+    out = dealt.select("span", "ahead", "id", "text").mapInArrow(_neighbours, _ROWS)
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(LEAST)))
