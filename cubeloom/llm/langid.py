@@ -159,20 +159,23 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, max_rows: int = TRAINING_ROWS) -> LanguageModel:
     """Learn from documents that are not held out and have a language and a text.
 
-    Document frequencies cover all of them, weights and temperature the ``max_rows`` of least hash.
+    Document frequencies cover all of them, weights and temperature the ``max_rows`` doc_ids of least
+    hash. Of their rows, equal ones (doc_id, language and n-grams) count once, and ``max_rows`` come to
+    the driver at most: the first by hash of doc_id, language and n-grams, however rows are dealt.
+    Whole texts count, however long; nothing to learn from gives a model without languages.
     """
     known = docs.filter(~held_out()).filter("lang is not null and text is not null")
     frequency = known.select("text").mapInArrow(_frequencies, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # SIZE + 1 rows at most
     df = np.zeros(SIZE + 1)
     df[frequency["gram"].to_numpy()] = frequency["n"].to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    place = F.xxhash64("doc_id")
-    slim = known.select(place.alias("place")).orderBy("place").limit(max_rows).agg(F.max("place").alias("last")).first()
-    if slim.last is None:
+    if not df[-1]:
         return LanguageModel([], idf, np.zeros((SIZE, 0)), np.zeros(0), 1.0)
-    sample = known.select("lang", "text", place.alias("place")).filter(F.col("place") <= slim.last)
-    rows = sample.mapInArrow(_counts, "lang string, place long, index array<int>, count array<int>").toArrow().sort_by([("place", "ascending"), ("lang", "ascending")])
-    rows = rows.slice(0, max_rows)
+    place = F.xxhash64("doc_id")
+    last = least_hashes(known.select(place.alias("place")), max_rows, int(df[-1]))
+    sample = known.select("lang", "text", place.alias("place")).filter(F.col("place") <= last)
+    found = sample.mapInArrow(_counts, "lang string, place long, index array<int>, count array<int>")
+    rows = found.distinct().orderBy("place", "lang", "index", "count").limit(max_rows).toArrow()
     languages = sorted(set(rows["lang"].to_pylist()))
     y = np.array([languages.index(x) for x in rows["lang"].to_pylist()])
     model = LanguageModel(languages, idf, np.zeros((SIZE, len(languages))), np.zeros(len(languages)), 1.0)
@@ -186,6 +189,21 @@ def fit(docs: DataFrame, max_rows: int = TRAINING_ROWS) -> LanguageModel:
     return LanguageModel(languages, idf, weights, bias, fit_temperature(logits, y[aside]))
 
 
+def least_hashes(places: DataFrame, n: int, n_rows: int) -> int:
+    """The ``n``-th least distinct hash of a column ``place``, or the greatest.
+
+    Only hashes below a limit are looked at, so the table is not ordered; where repeated rows leave too
+    few of them the limit is raised.
+    """
+    share = min(1.0, 2 * n / n_rows)
+    while True:
+        limit = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+        found = places.filter(F.col("place") <= limit).distinct().orderBy("place").limit(n).agg(F.max("place").alias("last"), F.count("*").alias("n")).first()
+        if found.n == n or share == 1.0:
+            return found.last
+        share = min(1.0, share * 8)
+
+
 _PREDICTIONS = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -193,8 +211,9 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred and score.
 
     Only the text is looked at. A null text, or one without a letter, is ``und`` with score 0, as is
-    every text if there was nothing to learn from. Repeated rows are predicted alike; no documents
-    give no rows.
+    every text if there was nothing to learn from. Of equally likely languages the first by name is
+    taken. Whole texts count, however long. Repeated rows are predicted alike; a null doc_id is
+    returned as such; other columns are not read, whatever their names; no documents give no rows.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

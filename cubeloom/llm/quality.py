@@ -211,10 +211,13 @@ def fit(stats: DataFrame, labels: DataFrame, max_rows: int = TRAINING_ROWS) -> F
     """Fit on the labelled documents with the least hashes of doc_id, ``max_rows`` at most.
 
     A document with several labels is good if all say so; rows without label or doc_id are left out.
+    Rows of one doc_id with equal statistics count once, and ``max_rows`` come to the driver at most:
+    the first by hash of doc_id and statistics, however rows are dealt.
     """
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = stats.select("doc_id", "features").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toArrow()
+    known = stats.select("doc_id", "features").join(F.broadcast(chosen), "doc_id").distinct()  # chosen: max_rows, 9 bytes each
+    rows = known.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(max_rows).toArrow()
     x = np.array(rows["features"].to_pylist(), float).reshape(-1, len(FEATURES))
     signs = np.array([MONOTONIC.get(f, 0) for f in FEATURES])
     return fit_forest(x, np.array(rows["quality"].to_pylist(), float) > 0, signs)
@@ -242,7 +245,8 @@ def rate_documents(docs: DataFrame, labels: DataFrame, max_rows: int = TRAINING_
     """Per document its counts, base_failed, quality and kept.
 
     ``docs`` needs ``doc_id`` and ``text``, ``labels`` needs ``doc_id`` and ``quality``; other columns
-    are not read. A null text has no words and fails the base rules, as does an empty one. Repeated
+    are not read, whatever their names. A null text has no words and fails the base rules, as does an
+    empty one; whole texts count, however long. A quality of exactly ``DECISION`` is kept. Repeated
     rows are rated alike; no documents give no rows; without labels the base rules decide alone.
     """
     stats = stage(count_statistics(docs), "statistics")
