@@ -87,7 +87,9 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, temperature:
     ``mix_copy`` (from 0), ``mix_rate`` (the mean) and ``mix_order`` (hash that orders the mixture;
     partitions are hash ranges of it in random order). A null text counts one byte, a null source is
     a source of its own, a null doc_id is hashed as such; repeated rows with one doc_id get the same
-    count each. No documents: no rows. Columns whose names begin with ``mix_`` are replaced.
+    count each, and lie in several partitions if their texts differ. Texts are not looked into, so
+    long ones cost what they weigh. Copies of equal order are ordered by doc_id. No documents: no
+    rows. Columns whose names begin with ``mix_`` are replaced.
     """
     docs = docs.drop("mix_copy", "mix_rate", "mix_order", "mix_source", "mix_least", "mix_cdf", "mix_salt")
     columns = docs.columns
@@ -109,7 +111,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, temperature:
         .withColumn("mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_count") - 1)))
         .withColumn("mix_order", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), doc, F.col("mix_copy").cast("string"))), 1, 15), 16, 10).cast("long"))
     )
-    return copies.select(*columns, "mix_copy", "mix_rate", "mix_order").repartition("mix_order").sortWithinPartitions("mix_order", "doc_id")
+    return copies.select(*columns, "mix_copy", "mix_rate", "mix_order").repartition("mix_order", F.xxhash64("text")).sortWithinPartitions("mix_order", "doc_id")
 
 
 #: The same mixture in DuckDB's SQL, for the default target weights.
@@ -122,7 +124,7 @@ WITH d AS (
   SELECT s, pow(size::DOUBLE, {TEMPERATURE}) / sum(pow(size::DOUBLE, {TEMPERATURE})) OVER () * sum(size) OVER () / size AS rate FROM stats
 ), steps AS (
   SELECT s, rate, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1.0))) OVER (PARTITION BY s ORDER BY k) AS cdf
-  FROM rates, range(0, 200) AS r(k)
+  FROM rates, LATERAL (SELECT unnest(range(0, cast(ceil(rate + 9 * sqrt(rate)) AS BIGINT) + 25)) AS k) AS r
 ), counted AS (
   SELECT d.*, rate, (SELECT count(*) FROM steps WHERE steps.s = d.s AND cdf < 1 - pow(2, -52)
     AND cdf <= (('0x' || substr(md5('{SEED}|' || doc), 1, 13))::BIGINT)::DOUBLE / pow(2, 52)) AS n

@@ -33,6 +33,8 @@ GROUP_SLACK = 0.01
 FIRST_PROBES = 1024
 PROBES_PER_GAP = 16
 MAX_ROUNDS = 24
+#: There are so many gaps at most, as each costs the driver and a broadcast table one row.
+MAX_GAPS = 1_000_000
 TEXT_BITS, DOC_BITS = 38, 24
 KEY_END = 1 << (TEXT_BITS + DOC_BITS)
 
@@ -160,14 +162,15 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rows_per_gap: int | N
     has none, and null texts count as equal. Shards get nearly equal bytes: a cut is off by at most
     ``TOLERANCE`` of a shard, or by one document or group of equal texts of up to ``GROUP_SLACK`` of a
     shard. Equal texts share a shard unless together they fit in none. Repeated rows (same text and
-    doc_id) share a key and stay together. Fewer rows than shards leave shards empty; no rows give no
+    doc_id) share a key and stay together. Texts are not looked into, so a long one counts by its bytes
+    only; one larger than a shard has a shard to itself. Fewer rows than shards leave shards empty; no rows give no
     rows. Columns named ``shard`` or ``slot`` are replaced, as are those that begin with ``shard_``.
     """
-    docs = docs.drop("shard", "slot", "shard_key", "shard_gap", "shard_base")
+    docs = docs.drop("shard", "slot", "shard_key", "shard_gap", "shard_base", "shard_part", "shard_before")
     columns = docs.columns
     keys = stage(docs.select(shard_key().alias("key"), row_size().alias("size")), "keys")
     n_rows, n_bytes = keys.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    rows_per_gap = rows_per_gap or min(max(1000, n_rows // 512), 200_000)
+    rows_per_gap = rows_per_gap or max(min(max(1000, n_rows // 512), 200_000), 4 * n_rows // MAX_GAPS)
     target = n_bytes / shards
     # At most shards / GROUP_SLACK groups are that large.
     large = keys.groupBy(F.shiftright("key", DOC_BITS).alias("text")).agg(F.sum("size").alias("size"), F.count("*").alias("n")).filter(F.col("size") > GROUP_SLACK * target).filter("n > 1").orderBy("text").collect()
@@ -185,8 +188,19 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rows_per_gap: int | N
     # One row per candidate key: a few thousand, or one for about 100,000 rows of input.
     gaps = docs.sparkSession.createDataFrame(places, "shard_gap int, shard int, shard_base long")
     keyed = docs.withColumn("shard_key", shard_key()).withColumn("shard_gap", gap_of(F.col("shard_key"), found.edges, texts))
-    placed = keyed.withColumn("slot", F.row_number().over(Window.partitionBy("shard_gap").orderBy("shard_key", "doc_id", "text")))
-    return placed.join(F.broadcast(gaps), "shard_gap").select(*columns, "shard", (F.col("slot") - 1 + F.col("shard_base")).alias("slot"))
+    # What could not be cut further, rows of one text and doc_id, lies in the order of its input's partitions.
+    whole = [gap for gap, (n, _) in enumerate(found.gaps) if n > 4 * rows_per_gap]
+    keyed = keyed.withColumn("shard_part", F.when(F.col("shard_gap").isin(whole), F.spark_partition_id()).otherwise(0))
+    placed = keyed.withColumn("slot", F.row_number().over(Window.partitionBy("shard_gap", "shard_part").orderBy("shard_key", "doc_id", "text")))
+    out = placed.join(F.broadcast(gaps), "shard_gap")
+    if whole:
+        sizes = keyed.filter(F.col("shard_gap").isin(whole)).groupBy("shard_gap", "shard_part").agg(F.count("*").alias("n"))
+        before = Window.partitionBy("shard_gap").orderBy("shard_part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = stage(sizes.select("shard_gap", "shard_part", F.sum("n").over(before).alias("shard_before")), "parts")  # one row a partition and such gap
+        out = out.join(F.broadcast(parts) if parts.count() <= MAX_GAPS else parts, ["shard_gap", "shard_part"], "left")
+    else:
+        out = out.withColumn("shard_before", F.lit(0))
+    return out.select(*columns, "shard", (F.col("slot") - 1 + F.col("shard_base") + F.coalesce("shard_before", F.lit(0))).alias("slot"))
 
 
 def move(keys: np.ndarray, texts: np.ndarray) -> np.ndarray:
