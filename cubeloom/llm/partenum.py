@@ -8,7 +8,9 @@ with every set that similar, and its first H + 1 non-empty ones suffice. (A set
 that also emits its elements one by one; a pair of such sets meets there.) A set near the upper end
 of its band also emits the signatures of the next band.
 
-Signatures are then ranked by how many sets have them. Sets emit a few signatures more than
+Signatures are then ranked by how many sets have them. Those that a large share of all sets have are
+found on a sample of the sets and ranked by it; they are told by a small broadcast table, so no task
+gathers the rows of one. (Any ranking that all sets agree on gives the same results.) Sets emit a few signatures more than
 needed, and may for that drop as many of the most frequent ones and still share one with each
 similar set. Sets that share no signature now have no similar set and leave, which is most of them.
 
@@ -33,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from cubeloom.llm.common import stage
 from cubeloom.llm.shingles import mix, set_id, shingle_set
@@ -47,6 +50,11 @@ EXTRA = 0.06
 #: Histograms have so many counts; of sets too large for short counts nothing is concluded.
 BUCKETS = 512
 HUGE = 1 << 22
+#: One set in so many (a power of two) tells which tokens are frequent: those that so large a share of the sampled sets has, and so many of them at least.
+SAMPLE = 32
+FREQUENT_SHARE = 1 / 2000
+FREQUENT_LEAST = 8
+MAX_FREQUENT = 500_000
 #: Groups are compared in blocks of so many sets; a larger group is dealt out by pairs of blocks.
 BLOCK = 1024
 #: In the first round of block comparisons each set brings so many pairs per component and group.
@@ -110,15 +118,24 @@ def signatures(shingles: np.ndarray) -> tuple[np.ndarray, int, int]:
     return np.concatenate([own, above]).view(np.int64), drop, drop_above
 
 
+_SETS = "doc_id long, n_shingles long, node long, drop_own int, drop_above int, sampled array<long>"
+
+
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
     for batch in batches:
         rows = []
         for cell in batch.column(1):
             s = shingle_set(cell.as_py())
-            _, drop, above = signatures(s)
-            rows.append((len(s), set_id(s), drop, above))
-        n, node, drop, above = zip(*rows, strict=True) if rows else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(drop, pa.int32()), pa.array(above, pa.int32())], ["doc_id", "n_shingles", "node", "drop_own", "drop_above"])
+            tokens, drop, above = signatures(s)
+            node = set_id(s)
+            sampled = node % SAMPLE == 0 and node not in seen and len(tokens) > 0
+            if sampled:
+                seen.add(node)
+            rows.append((len(s), node, drop, above, tokens if sampled else None))
+        columns = zip(*rows, strict=True) if rows else [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [c.split()[0] for c in _SETS.split(", ")])
 
 
 def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,11 +184,29 @@ def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """Of rows (node, token) those whose token some other node has too, with the token's frequency."""
-    same = Window.partitionBy("token")
-    counted = rows.select("node", "token", F.count("*").over(same).alias("n"), F.min("node").over(same).alias("least"), F.max("node").over(same).alias("most"))
-    return counted.filter("least < most").select("node", "token", "n")
+def frequent(sampled: DataFrame) -> DataFrame:
+    """(token, n): the frequent tokens among the rows (node, token) of sampled sets, with a rank above all others'.
+
+    There are MAX_FREQUENT at most, so the table may be broadcast; a token that is left out is only
+    counted like all others.
+    """
+    rows = stage(sampled.distinct(), "sampled")
+    n = rows.select(F.count_distinct("node")).first()[0]
+    least = max(FREQUENT_LEAST, int(n * FREQUENT_SHARE))
+    found = rows.groupBy("token").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "token").limit(MAX_FREQUENT)
+    return stage(found.select("token", (F.col("count") + (1 << 40)).alias("n")), "frequent")
+
+
+def shared(rows: DataFrame, often: DataFrame) -> DataFrame:
+    """Of rows (node, token) those whose token some other node has too, with the token's frequency.
+
+    Those with a frequent token stay as they are: two sets of the sample had it at least.
+    """
+    marked = rows.select("node", "token").join(F.broadcast(often.withColumnRenamed("n", "rank")), "token", "left")
+    # Rows of frequent tokens are dealt by their node, each a window of its own.
+    own = Window.partitionBy("token", F.when(F.col("rank").isNotNull(), F.col("node")))
+    counted = marked.select("node", "token", "rank", F.count("*").over(own).alias("count"), F.min("node").over(own).alias("least"), F.max("node").over(own).alias("most"))
+    return counted.filter("least < most or rank is not null").select("node", "token", F.coalesce("rank", "count").alias("n"))
 
 
 def without_frequent(found: DataFrame, *by: str) -> DataFrame:
@@ -181,15 +216,15 @@ def without_frequent(found: DataFrame, *by: str) -> DataFrame:
     return kept.select("node", F.col("f.token").alias("token"))
 
 
-def candidates(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, nodes: DataFrame, often: DataFrame) -> DataFrame:
     """The nodes that share a signature with another, without the droppable ones: first level."""
     rows = docs.select("text").mapInArrow(_tokens, "node long, tokens array<long>").select("node", F.explode("tokens").alias("token"))
-    found = shared(rows).withColumn("band", F.col("token").bitwiseAND((1 << _BAND_BITS) - 1))
+    found = shared(rows, often).withColumn("band", F.col("token").bitwiseAND((1 << _BAND_BITS) - 1))
     info = nodes.select("node", "n_shingles", "drop_own", "drop_above")
     droppable = F.when(F.expr(f"pow({BAND_RATIO}, band) > n_shingles"), F.col("drop_above")).otherwise(F.col("drop_own"))
     kept = without_frequent(found.join(info, "node").withColumn("droppable", droppable), "node", "band")
     # What is left may have lost its counterpart, which dropped it.
-    return shared(kept).select("node").distinct()
+    return shared(kept, often).select("node").distinct()
 
 
 def refine(members: DataFrame) -> DataFrame:
@@ -199,8 +234,9 @@ def refine(members: DataFrame) -> DataFrame:
     """
     sizes = members.select("node", F.col("n").alias("size"), (F.col("n") - F.floor(F.col("n") / 4) - 1).cast("int").alias("droppable"))
     rows = members.select("node", F.explode("members").alias("token"))
-    found = shared(rows).join(sizes, "node")
-    met = shared(without_frequent(found, "node")).select("node", "token")
+    often = frequent(members.filter(f"node % {SAMPLE} = 0").select("node", F.explode("members").alias("token")))
+    found = shared(rows, often).join(sizes, "node")
+    met = shared(without_frequent(found, "node"), often).select("node", "token")
     info = found.groupBy("node", "size").agg((F.count("*") / F.col("size")).alias("common"))
     return met.join(info, "node").select("token", "node", F.col("size").alias("n"), "common")
 
@@ -301,8 +337,9 @@ def block_pairs(rows: DataFrame, members: DataFrame, per_component: int | None)
         return _block_pairs(batches, per_component)
 
     # A group's rows are dealt to blocks by a hash; each block meets each other once, and itself.
-    sizes = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = stage(rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1"), "blocks")
+    sizes = F.broadcast(sizes) if sizes.count() <= MAX_BROADCAST_IDS else sizes
+    dealt = rows.join(sizes, "token", "left").fillna(1, ["blocks"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("left"), F.greatest("block", o).alias("right")))
     spread = dealt.withColumn("meets", F.explode(others)).select("token", "meets.left", "meets.right", "block", "node", "n", "label")
     full = spread.join(members.select("node", "histogram"), "node").select("token", "left", "right", "block", "node", "n", "label", "histogram")
@@ -337,14 +374,24 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are not read. Null, empty and wordless texts
     have the empty set, are linked with nothing and are their own component. Documents with equal
-    sets are linked. Rows with the same doc_id are documents of their own; a row without doc_id
-    never names a component, unless nothing else is in it (then null). No documents: no rows.
+    sets are linked, so are those exactly at the threshold. Whole texts count, however long. Rows with
+    the same doc_id are documents of their own; a row without doc_id never names a component, unless
+    nothing else is in it (then null). No documents: no rows.
+
+    Joins on a token, a label or a node with very many rows rest on Spark's own splitting of skewed
+    joins (``spark.sql.adaptive.skewJoin``); nothing else gathers such rows in one task.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sets = stage(docs.mapInArrow(_sets, "doc_id long, n_shingles long, node long, drop_own int, drop_above int"), "sets")
+    return _joined(docs)[0]
+
+
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The join's result, and (node, label, component_id) of every set that is not empty."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = stage(docs.mapInArrow(_sets, _SETS), "sets")
     nodes = sets.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_doc"), F.max("n_shingles").alias("n_shingles"), F.max("drop_own").alias("drop_own"), F.max("drop_above").alias("drop_above"))
     nodes = stage(nodes, "nodes")
-    wanted = stage(candidates(docs, nodes).join(nodes.select("node", "least_doc"), "node"), "wanted")
+    often = frequent(sets.filter("sampled is not null").select("node", F.explode("sampled").alias("token")))
+    wanted = stage(candidates(docs, nodes, often).join(nodes.select("node", "least_doc"), "node"), "wanted")
     ids = wanted.select(F.col("least_doc").alias("doc_id"))
     ids = F.broadcast(ids) if wanted.count() <= MAX_BROADCAST_IDS else ids
     texts = docs.join(ids, "doc_id", "left_semi").select("text").union(docs.filter("doc_id is null").select("text"))
@@ -353,19 +400,43 @@ def join_documents(docs: DataFrame) -> DataFrame:
     labels = link_components(stage(refine(members), "groups"), members)
     named = nodes.join(labels, "node", "left").select("node", "least_doc", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("least_doc").alias("component_id"))
-    of_node = stage(named.join(least, "label").select("node", "component_id"), "named")
+    of_node = stage(named.join(least, "label").select("node", "label", "component_id"), "named")
     full = sets.filter("n_shingles > 0").join(of_node, "node").select("doc_id", "n_shingles", "component_id")
-    return full.unionByName(sets.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return full.unionByName(sets.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))), of_node
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id, with its columns.
+    """One document of each component: the one with the smallest doc_id, with all its columns.
 
-    Documents without words stay. Rows that share the doc_id that stays cannot be told apart and all
-    stay; a row without doc_id stays only if its component has no doc_id at all.
+    Documents without words stay, all of them. Of rows that share that doc_id within the component, copies
+    included, the one whose columns have the least hash stays. A row without doc_id stays only if
+    its component has no doc_id at all. Other columns are kept, whatever their names.
     """
-    keep = join_documents(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
+    found, of_node = _joined(docs)
+    found = stage(found, "joined")
+    named = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # A doc_id that is there once is its component's only row of that name.
+    counted = stage(found.groupBy("doc_id").agg(F.count("*").alias("n")).join(named.select(F.col("doc_id").alias("name")).distinct(), F.col("doc_id").eqNullSafe(F.col("name")), "left_semi"), "kept")
+
+    def having(condition: str) -> DataFrame:
+        own = counted.filter(condition).select(F.col("doc_id").alias("kept_id"))
+        return docs.join(own, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+
+    single = having("n = 1")
+    if not counted.filter("n > 1").limit(1).count():
+        return single
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    several = having("n > 1").select(F.col("doc_id").cast("long").alias("doc_id"), "text", whole.alias("row"))
+    rows = several.mapInArrow(_with_node, StructType([*several.schema, StructField("node", LongType()), StructField("words", BooleanType())]))
+    met = rows.filter("words").join(of_node, "node").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = met.groupBy("label").agg(F.min_by("row", F.struct(F.xxhash64("row"), F.col("row").cast("string"))).alias("row"))
+    return single.unionByName(first.select("row.*")).unionByName(rows.filter("not words").select("row.*"))
+
+
+def _with_node(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(c.as_py()) for c in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) > 0 for s in sets], pa.bool_())], names=[*batch.schema.names, "node", "words"])
 
 
 #: The same join in DuckDB's SQL: all pairs with a common shingle, then everything reachable over links.
