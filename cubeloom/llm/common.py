@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -33,16 +34,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI without a slash at its end.
 
-    It is the session's ``spark.checkpoint.dir``. Only where neither that nor a checkpoint
-    folder is set (tests, a single machine) a new temporary folder becomes the checkpoint folder.
+    It is the session's ``spark.checkpoint.dir``, or the checkpoint folder that is set. Only where
+    neither is and Spark runs in one process (tests, a single machine) a new temporary folder becomes
+    the checkpoint folder; on a cluster that would be another folder on each machine, so it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         root = f"file://{folder}"
         spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    return qualified(spark, root).rstrip("/")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as a full URI: one without a scheme is in Spark's default file system, not on a local disk."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
 def new_dir(spark: SparkSession, name: str) -> str:

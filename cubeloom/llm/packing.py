@@ -129,7 +129,8 @@ def pack_documents(docs: DataFrame, vocabulary: str = WORD_VOCABULARY, capacity:
     ``docs`` needs ``doc_id`` and ``text``; other columns are not read. A document's ids end with id
     0; a null or empty text is that id alone. Only documents longer than ``capacity`` are cut, into
     pieces of ``capacity`` tokens and a rest. Null doc_ids are kept, and repeated rows are packed as
-    often as they occur. No documents: no rows.
+    often as they occur. Pieces of equal length go in the order of their rows. A very long text is
+    encoded in parts; only its ids are held at once. No documents: no rows.
 
     Returns one row per piece: doc_id, piece, start (ids of its document before it), length,
     ids_crc32, sequence_id and offset (its place there; a sequence has no gaps).

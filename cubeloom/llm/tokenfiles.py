@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import new_dir, stage
+from cubeloom.llm.common import new_dir, qualified, stage
 from cubeloom.llm.encoding import encoder
 
 #: Fixed values of the zstandard seekable format.
@@ -34,6 +34,9 @@ CHECKSUM_FLAG = 0x80
 #: A skippable frame of our own for the index.
 INDEX_MAGIC = 0x184D2A50
 
+#: Schemes that Spark's connectors have for stores, and the usual ones.
+STORES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs", "wasb": "abfs"}
+
 FRAME_IDS = 1 << 18
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 END_ID = b"\0\0\0\0"
@@ -43,10 +46,21 @@ _DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def open_fs(uri: str):
-    """The file system and path of a URI, reached from any process without Spark."""
+    """The file system and path of a full URI, reached from any process without Spark.
+
+    Schemes of Spark's own connectors are taken for the same store's usual ones. A URI without a
+    scheme, or with one that is not known here, is an error: never a local file instead.
+    """
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        raise ValueError(f"{uri} has no scheme")
+    if scheme in STORES:
+        uri = f"{STORES[scheme]}:{rest}"
+    elif scheme == "file":
+        uri = "file:///" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(uri)
 
 
 def _checksum(raw: bytes) -> int:
@@ -174,20 +188,20 @@ def write_token_files(docs: DataFrame, vocabulary: str = BYTE_VOCABULARY, folder
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are not read. A null text counts as empty,
     a null doc_id comes first, rows with the same doc_id follow one another in text order. One
-    range exchange deals the rows; each task writes one file under a name of its own. The manifest
+    range exchange deals the rows; each task writes one file under a name of its own. A very long text
+    is encoded in parts and written in several frames. The manifest
     that is returned is written by Spark's commit protocol, so files of lost or repeated task
     attempts are in no manifest and no reader sees them.
 
     Returns one row per file: path, first_doc, n_docs, n_tokens, n_bytes. No documents: no rows.
     """
     spark = docs.sparkSession
-    folder = folder or new_dir(spark, "tokens")
+    folder = qualified(spark, folder) if folder else new_dir(spark, "tokens")
     files, root = open_fs(folder)
     files.create_dir(root, recursive=True)
-    scheme = folder
 
     def write(batches):
-        return _write(batches, scheme, vocabulary)
+        return _write(batches, folder, vocabulary)
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

@@ -127,6 +127,17 @@ def test_large_groups_are_dealt_whole(spark):
     assert all(r.n == r.d == r.m + 1 for r in slots)
 
 
+def test_one_row_repeated_is_cut_across_partitions(spark):
+    """A third of all rows are one row: they share a key, and still no gap holds them all in one window."""
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same")).otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"), F.lit(1).alias("shard_part")).repartition(6)
+    out = sharding.shard_documents(docs, shards=4, rows_per_gap=50)
+    rows = out.collect()
+    assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in docs.collect())
+    for shard in range(4):
+        own = sorted(r.slot for r in rows if r.shard == shard)
+        assert own == list(range(len(own)))
+
+
 def test_sharding_nothing(empty):
     assert sharding.shard_documents(empty).count() == 0
 
@@ -240,10 +251,33 @@ def test_one_of_each_group_stays(clashing):
     assert kept.columns == clashing.columns
     found = partenum.join_documents(clashing)
     groups = found.filter("n_shingles > 0").select("component_id").distinct().count()
-    texts = kept.filter("text is not null and trim(translate(text, '\\n\\t', '  ')) <> ''").select("doc_id", "text").distinct().count()
+    texts = kept.filter("text is not null and trim(translate(text, '\\n\\t', '  ')) <> ''").count()
     assert texts == groups
 
 
+def test_rows_of_one_doc_id_are_told_apart(spark):
+    same = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, same, "a"), (5, same, "a"), (5, same + " more", "b"), (5, "quite another text with words of its own", "a"), (5, None, "a"), (5, "", "a"), (7, same, "c"), (None, "only here and without an id", "d"), (None, "only here and without an id", "d"), (None, same, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string").repartition(4)
+    kept = sorted(map(tuple, partenum.keep_one(docs).collect()), key=str)
+    assert [r[1:] for r in kept if r[0] is None] == [("only here and without an id", "d")]
+    assert sorted(str(r[1]) for r in kept if r[0] == 5)[:2] == ["", "None"] and len(kept) == 5
+    assert (5, "quite another text with words of its own", "a") in kept and sum(bool(r[1]) and r[1].startswith("w0 ") for r in kept) == 1
+    assert kept == sorted(map(tuple, partenum.keep_one(docs.repartition(2)).collect()), key=str)
+
+
+@pytest.mark.parametrize("least", [8, 1])
+def test_frequent_tokens_change_nothing(spark, least, monkeypatch):
+    """A third of all sets share a passage and are nearly similar by it; the sample takes every set."""
+    monkeypatch.setattr(partenum, "SAMPLE", 1)
+    monkeypatch.setattr(partenum, "FREQUENT_LEAST", least)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [passage + " " + " ".join(f"u{i}x{j}" for j in range(6 + i % 20)) for i in range(60)] + near_copies(40, 60, 4, 9) + near_copies(20, 300, 20, 10)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in partenum.join_documents(docs).select("doc_id", "n_shingles", "component_id").collect()]
+    assert sorted(got) == sorted(plain_components(list(enumerate(texts))))
+
+
 # -- pipeline
 
 

@@ -63,6 +63,57 @@ def test_temperature_calibrates():
     assert abs(langid.fit_temperature(5 * z, y) - 5) < 0.5
 
 
+def test_one_document_many_times_brings_few_rows_to_the_driver(spark, real, labels, monkeypatch):
+    """One labelled doc_id a great many times, with several texts: the driver gets max_rows rows, and equal models however rows lie."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    some = real.filter("text is not null").limit(150).select("doc_id", "text", "lang")
+    hot = spark.range(20_000).select(F.lit(some.first().doc_id).alias("doc_id"), F.concat(F.lit("words that came back "), (F.col("id") % 50).cast("string")).alias("text"), F.lit("en").alias("lang"))
+    docs = some.union(hot)
+    brought, plain = [], Classic.toArrow
+    monkeypatch.setattr(Classic, "toArrow", lambda self: (brought.append(out := plain(self)), out)[1])
+
+    def models(rows):
+        stats = quality.count_statistics(rows)
+        return langid.fit(rows, 60), toxicity.fit(rows, labels, 60), quality.fit(stats, labels, 60)
+
+    a, b = models(docs.repartition(3)), models(docs.repartition(5))
+    # The tables of n-gram frequencies are bounded by their own size.
+    assert all(t.num_rows <= 60 for t in brought if "gram" not in t.column_names)
+    assert np.array_equal(a[0].weights, b[0].weights) and a[0].temperature == b[0].temperature
+    assert np.array_equal(a[1].weights, b[1].weights) and a[1].decision == b[1].decision
+    assert np.array_equal(a[2].value, b[2].value) and np.array_equal(a[2].threshold, b[2].threshold)
+
+
+def test_predictions_equal_plain_ones(real):
+    """Probabilities from n-grams counted with strings, and the learnt weights by a dense formula."""
+    model = langid.fit(real)
+    for r in real.limit(25).collect():
+        got = model.predict(r.text)
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert got == (langid.UNKNOWN, 0.0)
+            continue
+        clean = re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in " " + r.text.lower() + " "))
+        x = np.zeros(langid.SIZE)
+        for n in (1, 2, 3):
+            for i in range(len(clean) - n + 1):
+                gram = clean[i : i + n]
+                if n > 1 or gram != " ":
+                    x[plain_gram(gram)] += 1
+        v = np.log(1 + x) * model.idf
+        z = (v / np.sqrt(v @ v) @ model.weights + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[0] == model.languages[int(p.argmax())] and abs(got[1] - p.max()) < 1e-9
+
+
+def plain_gram(gram):
+    h, k = 0, 0x9E3779B1
+    for c in gram:
+        h = (h * k + ord(c)) % 2**32
+    h = h * {1: 0x85EBCA6B, 2: 0xC2B2AE35, 3: 0x27D4EB2F}[len(gram)] % 2**32
+    return (h ^ (h >> 15)) * 0x2C1B3C6D % 2**32 >> (32 - langid.BITS)
+
+
 # -- fingerprints
 
 
@@ -117,6 +168,72 @@ def test_an_edit_is_located():
     assert start <= at < end < start + 80
 
 
+def plain_leaves(text):
+    """Leaves of a text without a tree: paragraphs at newlines, sentences, 128 characters."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        begin, cuts = 0, []
+        for m in re.finditer(r"[.!?]+\s*", line):
+            cuts.append((begin, m.end()))
+            begin = m.end()
+        if begin < len(line) or not cuts:
+            cuts.append((begin, len(line)))
+        for a, b in cuts:
+            out += [(at + x, line[x : min(x + 128, b)]) for x in range(a, b, 128)] or [(at + a, "")]
+        at += len(line) + 1
+    return out
+
+
+def plain_likeness(a, b):
+    bags = []
+    for text in (a, b):
+        bag = {}
+        for _, leaf in plain_leaves(text):
+            bag[leaf] = bag.get(leaf, 0) + max(1, len(leaf))
+        bags.append(bag)
+    total = sum(sum(bag.values()) for bag in bags)
+    return 2 * sum(min(n, bags[1].get(leaf, 0)) for leaf, n in bags[0].items()) / total
+
+
+words_of_lines = st.lists(st.sampled_from(["one. ", "two! ", "three", "\n", "\n\n", "four? five. ", "x" * 130, " "]), max_size=25)
+
+
+@settings(max_examples=150, deadline=None)
+@given(words_of_lines, words_of_lines)
+def test_likeness_through_the_tree(a, b):
+    a, b = "".join(a), "".join(b)
+    near, left = merkle.compare(merkle.tree(a), merkle.tree(b))
+    leaves = [(x.start, a[x.start : x.end]) for x in merkle.all_leaves(merkle.tree(a))]
+    assert [x for x in leaves if x[1]] == [x for x in plain_leaves(a) if x[1]]
+    assert abs(near - plain_likeness(a, b)) < 1e-12
+    assert all(a[x.start : x.end] != "" or x.start == x.end for x in left)
+
+
+def test_likeness_and_edits_of_documents(real):
+    rows = by_order([(r.doc_id, r.text or "") for r in real.select("doc_id", "text").collect()])
+    got = {r.doc_id: r for r in merkle.fingerprint_documents(real).collect()}
+    for (doc_id, text), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        other, r = merkle.edited(text, after), got[doc_id]
+        assert abs(r.near_edited - plain_likeness(text, other)) < 1e-12 and abs(r.near_next - plain_likeness(text, after)) < 1e-12
+        ranges = [tuple(map(int, x.split(":"))) for x in r.edits.split(",") if x]
+        old = {leaf for _, leaf in plain_leaves(text)}
+        inside = lambda at: any(a <= at < b for a, b in ranges)
+        assert all(inside(at) for at, leaf in plain_leaves(other) if leaf and leaf not in old)
+
+
+def test_a_third_of_all_rows_without_doc_id(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "ROWS_PER_RANGE", 10)
+    rows = [(None if i % 3 == 0 else i, f"text {i}. and more {i * i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    whole = docs.select(F.coalesce("doc_id", F.lit(merkle.LEAST)).alias("id"), "text", F.xxhash64("text").alias("h"))
+    assert sum(i == merkle.LEAST for i, _ in merkle.range_starts(whole)) > 10  # cut into many ranges
+    got = merkle.fingerprint_documents(docs).collect()
+    hashes = {r.text: r.h for r in whole.collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or hashes[r[1]]))
+    want = [(d, hashlib.sha256(merkle.edited(t, after).encode()).hexdigest()) for (d, t), (_, after) in zip(order, order[1:] + order[:1], strict=True)]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.edited_sha256)) for r in got)
+
+
 # -- quality
 
 
@@ -150,7 +267,7 @@ def test_quality_of_documents(request, which, labels):
     assert sorted(str((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)) for r in got) == want
     for r in got:
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
-        assert not (r.base_failed and r.kept) and r.kept == (not r.base_failed and r.quality >= 0.5)
+        assert not (r.base_failed and r.kept) and r.kept == (not r.base_failed and r.quality >= quality.DECISION)
 
 
 def test_quality_learns(spark, real, labels):
@@ -216,6 +333,54 @@ def test_toxicity_of_hard_documents(hard, clashing, empty, real, labels, spark):
     assert toxicity.score_documents(hard, nothing).filter("toxic or expected_severity > 0").count() == 0
 
 
+def test_toxicity_on_documents_that_were_not_learnt_from(spark):
+    """Half of the labels teach, the other half judge; the parameters are chosen inside the first half. Some labels are on junk without telling words."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    odd = F.xxhash64("doc_id") % 2 != 0
+    model = toxicity.fit(docs, labels.filter(odd))
+    found = toxicity.score_documents(docs, model).join(labels.filter(~odd).select("doc_id", F.col("toxic").alias("truth")), "doc_id").collect()
+    bad = [r for r in found if r.truth > 0]
+    good = [r for r in found if not r.truth > 0]
+    assert sum(r.toxic for r in bad) >= 0.75 * len(bad) and sum(r.toxic for r in good) <= 0.02 * len(good)
+
+
+def test_quality_on_documents_that_were_not_learnt_from(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    odd = F.xxhash64("doc_id") % 2 != 0
+    found = quality.rate_documents(docs, labels.filter(odd)).join(labels.filter(~odd).select("doc_id", F.col("quality").alias("truth")), "doc_id").filter("not base_failed").collect()
+    assert sum(r.kept == (r.truth > 0) for r in found) / len(found) > 0.9
+
+
+def test_scores_equal_dense_ones(real, labels):
+    """The sparse scorer against counts of every word and a loop over thresholds."""
+    model = toxicity.fit(real, labels)
+    for r in toxicity.score_documents(real, model).limit(40).collect():
+        words = [w.lower() for w in re.findall(r"[^\W\d_]+", (r.text or "").lower())]
+        score = 0.0
+        for w in {zlib.crc32(x.encode("utf-8", "surrogatepass")) % 2**toxicity.BITS for x in words}:
+            n = sum(zlib.crc32(x.encode("utf-8", "surrogatepass")) % 2**toxicity.BITS == w for x in words)
+            score += model.weights[w] * n**0.5 / max(1, len(words)) ** 0.25
+        below = [1 / (1 + np.exp(-(t - score))) for t in model.thresholds]
+        p = [b - a for a, b in zip([0, *below], [*below, 1], strict=True)]
+        assert abs(r.p_toxic - (1 - p[0])) < 1e-6 and abs(r.expected_severity - sum(k * x for k, x in enumerate(p))) < 1e-6
+        assert r.toxic == (1 - p[0] >= model.decision)
+
+
+def test_the_threshold_costs_least():
+    rng = np.random.default_rng(8)
+    toxic = rng.random(400) < 0.3
+    rows = np.repeat(np.arange(400), 3)
+    index = np.where(toxic[rows] & (rng.random(1200) < 0.8), rng.integers(0, 5, 1200), rng.integers(5, 300, 1200))
+    penalty, decision = toxicity.choose(toxic, rows, index, np.ones(1200), 512)
+    assert penalty in toxicity.PENALTIES and 0 < decision < 1
+    assert toxicity.choose(np.zeros(9, bool), rows[:9], index[:9], np.ones(9), 512) == (toxicity.PENALTIES[1], toxicity.DECISION)
+
+
+def test_clashing_columns_survive_the_filter(clashing, real, labels):
+    kept = toxicity.drop_toxic(clashing, labels)
+    assert kept.columns == clashing.columns
+
+
 def test_gradients_of_the_ordinal_loss():
     rng = np.random.default_rng(2)
     scores, grade, t = rng.normal(size=30), rng.integers(0, 4, 30), np.array([-1.0, 0.2, 1.5])
