@@ -3,19 +3,31 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Rows of an Arrow batch between Spark and Python, if the session does not say otherwise. Rows are whole
+#: texts here, and both sides hold a few batches for each task.
+BATCH_ROWS = 1000
+_ROWS_SETTING, _SPARKS_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once, in case they cannot import it from where it is."""
+    """Send this package to the executors, once, in case they cannot import it from where it is; bound Arrow batches."""
+    if spark.conf.get(_ROWS_SETTING, _SPARKS_ROWS) == _SPARKS_ROWS:
+        spark.conf.set(_ROWS_SETTING, str(BATCH_ROWS))
     if getattr(spark.sparkContext, "_cubeloom_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -31,6 +43,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A function over Arrow batches that gives its free memory back at the end: workers live on and serve other operators."""
+
+    @wraps(run)
+    def inner(*args):
+        try:
+            yield from run(*args)
+        finally:
+            give_back()
+
+    return inner
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI without a slash at its end.
 

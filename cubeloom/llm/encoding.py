@@ -335,7 +335,7 @@ def _places(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def encoder(name: str, max_bytes: int = 100 << 20) -> PieceEncoder:
+def encoder(name: str, max_bytes: int = 64 << 20) -> PieceEncoder:
     """One encoder for each vocabulary and Python worker."""
     if (name, max_bytes) not in _ENCODERS:
         _ENCODERS[name, max_bytes] = PieceEncoder(name, max_bytes)

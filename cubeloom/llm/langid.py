@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cubeloom.llm.common import lean
+
 BITS = 15
 SIZE = 1 << BITS
 #: Weights are learnt on so many documents at most, those with the least hashes.
@@ -135,6 +137,7 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+@lean
 def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(SIZE, np.int64)
     n = 0
@@ -147,6 +150,7 @@ def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"gram": pa.array(np.append(some, SIZE), pa.int32()), "n": pa.array(np.append(seen[some], n), pa.int64())})
 
 
+@lean
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [counts(t.as_py()) for t in batch.column(1)]
@@ -216,6 +220,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     returned as such; other columns are not read, whatever their names; no documents give no rows.
     """
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.predict(t.as_py()) for t in batch.column(2)]

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cubeloom.llm.common import lean
+
 LEAF_CHARS = 128
 #: One paragraph in so many ends a section.
 SECTION_PARAGRAPHS = 8
@@ -159,6 +161,7 @@ _ROWS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, ed
 LEAST = -(1 << 63)
 
 
+@lean
 def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by range, in order, each range's look-ahead last. One document is held back."""
     names = [c.split()[0] for c in _ROWS.split(", ")]

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import stage
+from cubeloom.llm.common import lean, stage
 from cubeloom.llm.encoding import encoder
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -84,6 +84,7 @@ class BestFitPacker:
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, bin long, offset long, held long"
 
 
+@lean
 def _pack(batches: Iterable[pa.RecordBatch], vocabulary: str, capacity: int, open_bins: int) -> Iterator[pa.RecordBatch]:
     enc, packer, part = encoder(vocabulary), BestFitPacker(capacity, open_bins), TaskContext.get().partitionId()
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]

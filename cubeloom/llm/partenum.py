@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from cubeloom.llm.common import stage
+from cubeloom.llm.common import lean, stage
 from cubeloom.llm.shingles import mix, set_id, shingle_set
 
 #: Similar means 100 * intersection >= 75 * union; the bounds below rest on it.
@@ -121,6 +121,7 @@ def signatures(shingles: np.ndarray) -> tuple[np.ndarray, int, int]:
 _SETS = "doc_id long, n_shingles long, node long, drop_own int, drop_above int, sampled array<long>"
 
 
+@lean
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in batches:
@@ -138,6 +139,7 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [c.split()[0] for c in _SETS.split(", ")])
 
 
+@lean
 def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in batches:
@@ -170,6 +172,7 @@ def histogram(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((shingles >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS).clip(0, 32767).astype(np.int16)
 
 
+@lean
 def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(c.as_py()) for c in batch.column(0)]
@@ -271,6 +274,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = new.select("node", "label")
 
 
+@lean
 def _block_pairs(batches: Iterable[pa.RecordBatch], per_component: int | None) -> Iterator[pa.RecordBatch]:
     """Rows come by (token, left, right), in order: the members of a block or of two blocks of a group.
 
@@ -433,6 +437,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return single.unionByName(first.select("row.*")).unionByName(rows.filter("not words").select("row.*"))
 
 
+@lean
 def _with_node(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(c.as_py()) for c in batch.column(1)]

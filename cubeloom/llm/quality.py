@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import stage
+from cubeloom.llm.common import lean, stage
 
 #: Fixed values of the base rules.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -98,6 +98,7 @@ def count_statistics(docs: DataFrame) -> DataFrame:
     """The statistics of every whole text; a null text counts as empty."""
     names = [c.split()[0] for c in _STATISTICS.split(", ")]
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [statistics(t.as_py()) for t in batch.column(1)]

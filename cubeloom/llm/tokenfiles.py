@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import new_dir, qualified, stage
+from cubeloom.llm.common import lean, new_dir, qualified, stage
 from cubeloom.llm.encoding import encoder
 
 #: Fixed values of the zstandard seekable format.
@@ -164,6 +164,7 @@ class TokenFileReader:
         return [self.ids(k) for k, d in enumerate(self.doc_ids) if d == doc_id]
 
 
+@lean
 def _write(batches: Iterable[pa.RecordBatch], folder: str, vocabulary: str) -> Iterator[pa.RecordBatch]:
     enc = encoder(vocabulary)
     width = 2 if enc.n_ids <= 1 << 16 else 4
@@ -209,6 +210,7 @@ def write_token_files(docs: DataFrame, vocabulary: str = BYTE_VOCABULARY, folder
     return manifest.withColumn("folder", F.lit(folder))
 
 
+@lean
 def _read(batches: Iterable[pa.RecordBatch], chunk: int = 4096) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cubeloom.llm.common import lean
 from cubeloom.llm.words import HashedWords, weigh
 
 BITS = 18
@@ -177,6 +178,7 @@ def choose(toxic: np.ndarray, rows: np.ndarray, index: np.ndarray, value: np.nda
 _FEATURES = "doc_id long, toxic boolean, index array<int>, value array<float>"
 
 
+@lean
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = HashedWords(BITS)
     for batch in batches:
@@ -228,6 +230,7 @@ def score_documents(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     used = np.flatnonzero(model.weights)
     weights, thresholds, decision = model.weights[used], model.thresholds, model.decision
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = HashedWords(BITS)
         weight = np.zeros(1 << BITS)
