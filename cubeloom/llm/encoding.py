@@ -28,7 +28,7 @@ import pyarrow as pa
 SPACE, LETTER, DIGIT, MARK, OTHER, ODD = range(6)
 APOSTROPHE = ord("'")
 #: Texts are cut in batches of about so many bytes.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Longer pieces are not remembered.
 LONGEST = 64
 _ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
@@ -335,7 +335,7 @@ def _places(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def encoder(name: str, max_bytes: int = 64 << 20) -> PieceEncoder:
+def encoder(name: str, max_bytes: int = 48 << 20) -> PieceEncoder:
     """One encoder for each vocabulary and Python worker."""
     if (name, max_bytes) not in _ENCODERS:
         _ENCODERS[name, max_bytes] = PieceEncoder(name, max_bytes)
