@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import time
 from collections import OrderedDict
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.sql import DataFrame
+
 from cubeloom import federation
 from cubeloom.engine import ColumnMeta, Engine
 from cubeloom.errors import CompileError
@@ -29,6 +31,14 @@ class Result:
         return [dict(zip([c.name for c in self.columns], r, strict=True)) for r in self.rows]
 
 
+class RawRows(list):
+    """Rows as dicts; ``truncated`` if there were more than asked for."""
+
+    def __init__(self, rows: Iterable[dict[str, Any]], truncated: bool = False):
+        super().__init__(rows)
+        self.truncated = truncated
+
+
 class ResultCache:
     """The latest results, by namespace and query; the oldest leave first, and all after their time.
 
@@ -63,9 +73,13 @@ class ResultCache:
 
 
 class Runner:
-    """Answers queries with rows; ``on_execute(query, seconds, rows, cached)`` is told of each."""
+    """Answers queries with rows; ``on_execute(query, seconds, rows, cached)`` is told of each.
 
-    def __init__(self, engine: Engine, *, cache: ResultCache | None = None, max_rows: int = 10_000, on_execute: Callable[[SemanticQuery, float, int, bool], None] | None = None):
+    All rows of a result come, unless ``max_rows`` says how many; a result that it cuts says so. For
+    results too large for the driver there is ``streaming.chunks``.
+    """
+
+    def __init__(self, engine: Engine, *, cache: ResultCache | None = None, max_rows: int | None = None, on_execute: Callable[[SemanticQuery, float, int, bool], None] | None = None):
         self.engine, self.cache, self.max_rows, self.on_execute = engine, cache or ResultCache(), max_rows, on_execute
 
     def run(self, q: SemanticQuery, *, viewer: AuthContext | None = None, context: Mapping[str, Any] | None = None, namespace: str = "") -> Result:
@@ -77,15 +91,22 @@ class Runner:
         result = self.cache.get(key)
         cached = result is not None
         if result is None:
-            rows = [tuple(r) for r in compiled.df.limit(self.max_rows + 1).collect()]
-            result = Result(compiled.columns, tuple(rows[: self.max_rows]), len(rows) > self.max_rows)
+            rows, truncated = self._collect(compiled.df)
+            result = Result(compiled.columns, tuple(map(tuple, rows)), truncated)
             self.cache.put(key, result)
         if self.on_execute:
             self.on_execute(q, time.monotonic() - began, len(result.rows), cached)
         return Result(result.columns, result.rows, result.truncated, cached)
 
-    def run_raw(self, sql: str) -> list[dict[str, Any]]:
+    def _collect(self, df: DataFrame) -> tuple[list, bool]:
+        if self.max_rows is None:
+            return df.collect(), False
+        rows = df.limit(self.max_rows + 1).collect()
+        return rows[: self.max_rows], len(rows) > self.max_rows
+
+    def run_raw(self, sql: str) -> RawRows:
         """Raw SQL of a trusted caller, if it is one statement that only reads."""
         if not is_read_only(self.engine.spark, sql):
             raise CompileError("only a single statement that reads is run")
-        return [r.asDict() for r in self.engine.spark.sql(sql).limit(self.max_rows).collect()]
+        rows, truncated = self._collect(self.engine.spark.sql(sql))
+        return RawRows((r.asDict() for r in rows), truncated)

@@ -235,7 +235,7 @@ def cases() -> dict[str, tuple[Callable[[Engine], DataFrame], str | None]]:
     ops = [f("lineitem.returnflag", "in", "A", "R"), f("lineitem.linestatus", "neq", "F"), f("lineitem.linenumber", "not_in", 6, 7), f("lineitem.quantity", "gte", 5), f("lineitem.quantity", "lt", 45), f("lineitem.discount", "lte", 0.08), f("lineitem.partkey", "gt", 10)]
     add("filter_ops", q(measures=["lineitem.rows", "lineitem.qty"], dimensions=["lineitem.returnflag"], filters=ops), f"SELECT l_returnflag AS returnflag, count(*) AS rows, {r('sum(l_quantity)')} AS qty FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_linestatus <> 'F' AND l_linenumber NOT IN (6, 7) AND l_quantity >= 5 AND l_quantity < 45 AND l_discount <= 0.08 AND l_partkey > 10 GROUP BY 1")
     add("filter_contains", q(measures=["part.part_count"], dimensions=["part.brand"], filters=[f("part.brand", "contains", "bRAND#1")]), "SELECT p_brand AS brand, count(*) AS part_count FROM part WHERE contains(lower(p_brand), 'brand#1') GROUP BY 1")
-    add("filter_nulls", q(measures=["orders.order_count"], filters=[f("orders.status", "not_null"), f("orders.priority", "not_null")]), "SELECT count(*) AS order_count FROM orders WHERE o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL")
+    add("filter_nulls", q(measures=["documents.doc_count"], dimensions=["documents.lang"], left_joins=["labels"], filters=[f("labels.quality", "not_null")]), "SELECT lang, count(*) AS doc_count FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality IS NOT NULL GROUP BY 1")
     tree = BoolExpr(op="and", children=(BoolExpr(op="or", children=(f("orders.status", "eq", "F"), BoolExpr(op="not", children=(f("orders.priority", "in", "1-URGENT", "2-HIGH"),)))), f("orders.custkey", "gt", 100)))
     add("where_tree_or_not", q(measures=["orders.order_count", "orders.total"], dimensions=["orders.status"], where=tree), f"SELECT o_orderstatus AS status, count(*) AS order_count, {r('sum(o_totalprice)')} AS total FROM orders WHERE (o_orderstatus = 'F' OR NOT (o_orderpriority IN ('1-URGENT', '2-HIGH'))) AND o_custkey > 100 GROUP BY 1")
     add("segments", q(measures=["lineitem.rows"], dimensions=["lineitem.returnflag"], segments=["lineitem.discounted", "lineitem.bulky"]), "SELECT l_returnflag AS returnflag, count(*) AS rows FROM lineitem WHERE l_discount > 0.05 AND l_quantity >= 30 GROUP BY 1")
@@ -244,7 +244,7 @@ def cases() -> dict[str, tuple[Callable[[Engine], DataFrame], str | None]]:
     five = "FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey"
     add("join_five_cube", q(measures=["lineitem.revenue", "lineitem.rows"], dimensions=["cust_nation.name", "supp_nation.name"]), f"SELECT cn.n_name AS cust_nation_name, sn.n_name AS supp_nation_name, {r(f'sum({revenue})')} AS revenue, count(*) AS rows {five} GROUP BY 1, 2")
     add("join_left_spine", q(measures=["customer.cust_count"], dimensions=["customer.segment", "nation.regionkey"], left_joins=["nation"]), "SELECT c_mktsegment AS segment, n_regionkey AS regionkey, count(*) AS cust_count FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")
-    add("join_anti", q(dimensions=["customer.custkey"], left_joins=["orders"], filters=[f("orders.orderkey", "is_null")]), "SELECT c_custkey AS custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL GROUP BY 1")
+    add("join_anti", q(dimensions=["documents.doc_id"], left_joins=["labels"], filters=[f("labels.quality", "is_null")]), "SELECT d.doc_id FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality IS NULL GROUP BY 1")
     add("join_collision_prefix", q(measures=["customer.cust_count"], dimensions=["customer.nationkey", "cust_nation.nationkey"]), "SELECT c_nationkey AS customer_nationkey, n_nationkey AS cust_nation_nationkey, count(*) AS cust_count FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")
     add("output_alias", q(measures=["orders.total"], dimensions=["orders.status"], aliases={"state": "orders.status", "amount": "orders.total"}), f"SELECT o_orderstatus AS state, {r('sum(o_totalprice)')} AS amount FROM orders GROUP BY 1")
     add(
@@ -310,7 +310,7 @@ def cases() -> dict[str, tuple[Callable[[Engine], DataFrame], str | None]]:
     add("join_theta", q(measures=["poorer.pairs"], dimensions=["poorer.segment", "supplier.nationkey"]), "SELECT c_mktsegment AS segment, s_nationkey AS nationkey, count(*) AS pairs FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal < s_acctbal GROUP BY 1, 2")
     add("tenancy_schema", q(measures=["tiered_orders.tier_count"], dimensions=["tiered_orders.status"]), "SELECT o_orderstatus AS status, count(*) AS tier_count FROM orders GROUP BY 1", viewer=AuthContext(viewer_id="v", tenant="orders"))
     add("join_coerced_key", q(measures=["text_orders.text_count"], dimensions=["text_customer.segment"]), "SELECT c_mktsegment AS segment, count(*) AS text_count FROM orders JOIN customer ON CAST(o_custkey AS VARCHAR) = CAST(c_custkey AS VARCHAR) GROUP BY 1")
-    add("drill_down", lambda e: e.query(rewrite.rewrite(q(measures=["orders.total"], dimensions=["orders.status"]), rewrite.DrillDown("orders.priority", "orders.status"), rewrite.AddFilter(f("orders.custkey", "lt", 500)))), f"SELECT o_orderpriority AS priority, {r('sum(o_totalprice)')} AS total FROM orders WHERE o_custkey < 500 GROUP BY 1")
+    add("drill_down", lambda e: e.query(rewrite.rewrite(q(measures=["orders.total"], dimensions=["orders.status"]), rewrite.DrillDown("orders.priority", "orders.status"), rewrite.AddFilter(f("orders.status", "eq", "F")))), f"SELECT o_orderpriority AS priority, {r('sum(o_totalprice)')} AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
     add("unit_conversion", lambda e: e.query(q(measures=["events.value"], dimensions=["events.event_type"])).select("event_type", Units().column(F.col("value"), "hour", "minute").alias("value")), f"SELECT event_type, {r('sum(value) * 60.0')} AS value FROM events GROUP BY 1")
     add("compare_buckets", q(measures=["events.event_count"], time_dimension=_window("events.ts", "2024-01-08", "2024-01-15", "day"), compare=CompareWindow(mode="explicit", range=("2024-01-12", "2024-01-19"))), _compared_buckets())
     text = "SELECT customer.segment, SUM(orders.total) AS total FROM orders JOIN customer ON orders.custkey = customer.custkey WHERE orders.status <> 'F' AND orders.orderdate BETWEEN '1996-01-01' AND '1998-01-01' GROUP BY customer.segment HAVING SUM(orders.total) > 0 ORDER BY total DESC LIMIT 10"

@@ -10,7 +10,7 @@ from cubeloom.catalog import Catalog
 from cubeloom.model import META
 
 #: Changes after which a query may fail or mean something else.
-BREAKING = ("cube_removed", "field_removed", "field_kind_changed", "field_type_changed", "field_sql_changed", "measure_agg_changed", "join_removed", "join_changed", "required_filter_added", "roles_tightened")
+BREAKING = ("cube_removed", "field_removed", "field_kind_changed", "field_type_changed", "field_sql_changed", "measure_agg_changed", "join_removed", "join_changed", "required_filter_added", "roles_tightened", "cube_primary_key_changed", "field_alias_removed")
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,7 @@ def diff(old: Catalog, new: Catalog) -> list[Change]:
 
 def _cube(name: str, x: Any, y: Any) -> list[Change]:
     out = []
-    for what in ("table", "source", "base_predicate", "tenancy", "security_sql", "scope", "timezone", "week_start", "stability", "description", "backend"):
+    for what in ("table", "source", "base_predicate", "tenancy", "security_sql", "scope", "timezone", "week_start", "primary_key", "stability", "description", "backend"):
         if getattr(x, what) != getattr(y, what):
             out.append(Change(f"cube_{what}_changed", name, getattr(x, what), getattr(y, what)))
     f, g = {i.name: i for i in x.fields()}, {i.name: i for i in y.fields()}
@@ -52,6 +52,8 @@ def _cube(name: str, x: Any, y: Any) -> list[Change]:
             continue
         checks: list[tuple[str, Callable[[Any], Any]]] = [("field_sql_changed", lambda i: (i.sql, getattr(i, "filter", None), getattr(i, "numerator", None), getattr(i, "denominator", None))), ("field_type_changed", lambda i: getattr(i, "type", None)), ("measure_agg_changed", lambda i: getattr(i, "agg", None)), ("field_text_changed", lambda i: (i.description, i.display_name)), ("field_unit_changed", lambda i: getattr(i, "unit", None))]
         out += [Change(kind, where, get(p), get(q)) for kind, get in checks if get(p) != get(q)]
+        before, after = (set(getattr(i, "aliases", ())) for i in (p, q))
+        out += [Change("field_alias_removed", where, a) for a in sorted(before - after)] + [Change("field_alias_added", where, None, a) for a in sorted(after - before)]
         if set(q.required_roles) != set(p.required_roles):
             out.append(Change("roles_tightened" if q.required_roles and (not p.required_roles or set(q.required_roles) < set(p.required_roles)) else "roles_loosened", where, p.required_roles, q.required_roles))
     j, k = {i.to: i for i in x.joins}, {i.to: i for i in y.joins}

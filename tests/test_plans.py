@@ -5,6 +5,8 @@ from __future__ import annotations
 import time
 from datetime import datetime
 
+from dataclasses import replace
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -232,6 +234,9 @@ def test_diff_and_lint():
     new = Catalog([cube("a").with_(measures=(Measure(name="n", sql="x", agg="sum"),)), cube("b")])
     kinds = {c.kind: c.breaking for c in diff.diff(old, new)}
     assert kinds == {"measure_agg_changed": True, "field_sql_changed": True, "join_removed": True}
+    keyed = Catalog([cube("b").with_(primary_key="k", dimensions=(replace(cube("b").dimensions[0], aliases=("kk", "new")), *cube("b").dimensions[1:]))])
+    older = Catalog([cube("b").with_(dimensions=(replace(cube("b").dimensions[0], aliases=("kk", "old")), *cube("b").dimensions[1:]))])
+    assert {(c.kind, c.breaking) for c in diff.diff(older, keyed)} == {("cube_primary_key_changed", True), ("field_alias_removed", True), ("field_alias_added", False)}
     assert {"isolated-cube", "missing-description"} <= {f.rule for f in lint.lint(new)}
 
 

@@ -228,6 +228,11 @@ def test_results_are_cached_by_namespace_viewer_and_time(spark):
     with pytest.raises(CompileError):
         runner.run_raw("DROP TABLE x")
     assert runner.run_raw("SELECT 1 AS a") == [{"a": 1}]
+    assert len(runner.run_raw("SELECT id FROM range(12000)")) == 12_000
+    runner.max_rows = 3
+    few = runner.run_raw("SELECT id FROM range(5)")
+    assert [r["id"] for r in few] == [0, 1, 2] and few.truncated
+    assert not runner.run_raw("SELECT id FROM range(3)").truncated
 
 
 def test_command_line(capsys):
