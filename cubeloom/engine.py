@@ -281,12 +281,16 @@ class Engine:
 
     def _windowed(self, df: DataFrame, plan: LogicalPlan, env: _Env, window: tuple[str, str] | None) -> DataFrame:
         """The half-open window, on the raw column."""
+        inside = self._inside(df, plan, env, window)
+        return df if inside is None else df.filter(inside)
+
+    def _inside(self, df: DataFrame, plan: LogicalPlan, env: _Env, window: tuple[str, str] | None) -> Column | None:
         if plan.time is None or window is None:
-            return df
+            return None
         c = env.column(_field(plan.time, env).sql)
         t = env.type(df, _field(plan.time, env).sql)
         low, high = (filter_column(Filter(dimension=plan.time.key, op=op, values=(v,)), c, "time", t) for op, v in (("gte", window[0]), ("lt", window[1])))
-        return df.filter(low & high)
+        return low & high
 
     def _key(self, o: Output, df: DataFrame, env: _Env) -> Column:
         sql = _field(o.ref, env).sql
@@ -307,10 +311,7 @@ class Engine:
         keys = [o for o in plan.outputs if o.kind in ("dimension", "time")]
         extra = list(plan.hidden) if hidden else []
         measures = [*(o for o in plan.outputs if o.kind == "measure"), *extra]
-        columns, shared = [], self._quantiles(measures, env)
-        columns += [c for c, _ in shared]
-        together = {name: (f"__quantiles_{i}", k) for i, (_, names) in enumerate(shared) for k, name in enumerate(names)}
-        columns += [self._measure(o, env).alias(o.name) for o in measures if o.name not in together]
+        columns, together = self._columns(measures, env)
         columns += [measure_column(env.cubes[r.cube], _field(r, env), env.cubes, env.context).alias(f"__operand_{i}") for i, r in enumerate(plan.operands.values())]
         if not columns:
             return df.select(*[self._key(o, df, env).alias(o.name) for o in keys]).distinct()
@@ -319,9 +320,17 @@ class Engine:
         else:
             # The expression is grouped by, a mask or a bucket, never a column that has its name.
             grouped = df.groupBy(*[self._key(o, df, env).alias(o.name) for o in keys]).agg(*columns)
-        return grouped.withColumns({name: F.col(f"`{c}`")[k] for name, (c, k) in together.items()}) if together else grouped
+        return grouped.withColumns(together) if together else grouped
+
+    def _columns(self, measures: list[Output], env: _Env, within: Column | None = None, suffix: str = "") -> tuple[list[Column], dict[str, Column]]:
+        """The aggregates of measures over the rows ``within``, and those that are then taken from a shared one."""
+        shared = self._quantiles(measures, env, within)
+        columns = [c.alias(f"__quantiles_{i}{suffix}") for i, (c, _) in enumerate(shared)]
+        together = {f"{name}{suffix}": F.col(f"`__quantiles_{i}{suffix}`")[k] for i, (_, names) in enumerate(shared) for k, name in enumerate(names)}
+        columns += [self._measure(o, env, within).alias(f"{o.name}{suffix}") for o in measures if f"{o.name}{suffix}" not in together]
+        return columns, together
 
-    def _quantiles(self, measures: list[Output], env: _Env) -> list[tuple[Column, list[str]]]:
+    def _quantiles(self, measures: list[Output], env: _Env, within: Column | None = None) -> list[tuple[Column, list[str]]]:
         """Several quantiles of one expression share one pass over its values."""
         groups: dict[tuple, list[Output]] = {}
         for o in measures:
@@ -333,13 +342,14 @@ class Engine:
             if len(found) > 1:
                 value = env.column(sql)
                 value = F.when(env.column(condition), value) if condition else value
+                value = value if within is None else F.when(within, value)
                 shares = F.array(*[F.lit(QUANTILES[_field(o.ref, env).agg]) for o in found])
-                out.append((F.percentile(value, shares).alias(f"__quantiles_{len(out)}"), [o.name for o in found]))
+                out.append((F.percentile(value, shares), [o.name for o in found]))
         return out
 
-    def _measure(self, o: Output, env: _Env) -> Column:
+    def _measure(self, o: Output, env: _Env, within: Column | None = None) -> Column:
         m = _field(o.ref, env)
-        c = measure_column(env.cubes[o.ref.cube], m, env.cubes, env.context)
+        c = measure_column(env.cubes[o.ref.cube], m, env.cubes, env.context, within)
         return _mask(o.ref.field, "double") if o.masked else c
 
     def _grouped(self, plan: LogicalPlan, env: _Env) -> DataFrame:
@@ -419,17 +429,28 @@ class Engine:
         return filled.fillna(value, [x.name for x in (*plan.outputs, *plan.hidden) if x.kind != "time"])
 
     def _compare(self, plan: LogicalPlan, env: _Env) -> DataFrame:
-        """Two windows side by side; equal keys meet, null keys never do."""
+        """Two windows side by side, from one scan of both; equal keys meet, null keys never do."""
         base = self.joined(plan, env)
-        now = self._aggregated(self._windowed(base, plan, env, plan.query.time_dimension.range), plan, env, False)
-        then = self._aggregated(self._windowed(base, plan, env, plan.prior), plan, env, False)
-        keys = [o.name for o in plan.outputs if o.kind in ("dimension", "time")]
-        measures = [o.name for o in plan.outputs if o.kind == "measure"]
-        a = now.select(*[F.col(f"`{k}`").alias(f"__a_{i}") for i, k in enumerate(keys)], *[F.col(f"`{m}`").alias(f"{m}_current") for m in measures])
-        b = then.select(*[F.col(f"`{k}`").alias(f"__b_{i}") for i, k in enumerate(keys)], *[F.col(f"`{m}`").alias(f"{m}_prior") for m in measures])
-        on = reduce(lambda x, y: x & y, [F.col(f"__a_{i}") == F.col(f"__b_{i}") for i in range(len(keys))], F.lit(True))
-        both = a.join(b, on, "full_outer")
-        columns = [F.coalesce(F.col(f"__a_{i}"), F.col(f"__b_{i}")).alias(k) for i, k in enumerate(keys)]
+        windows = {"current": self._inside(base, plan, env, plan.query.time_dimension.range), "prior": self._inside(base, plan, env, plan.prior)}
+        base = base.filter(windows["current"] | windows["prior"])
+        wanted = [o for o in plan.outputs if o.kind == "measure"]
+        columns, together = [], {}
+        for side, inside in windows.items():
+            own, shared = self._columns(wanted, env, inside, f"_{side}")
+            columns += [F.count(F.when(inside, F.lit(1))).alias(f"__{side}"), *own]
+            together |= shared
+        named = [o for o in plan.outputs if o.kind in ("dimension", "time")]
+        keys, measures = [o.name for o in named], [o.name for o in wanted]
+        both = base.groupBy(*[self._key(o, base, env).alias(o.name) for o in named]).agg(*columns)
+        both = both.withColumns(together) if together else both
+        if keys:
+            present = {side: F.col(f"__{side}") > 0 for side in windows}
+            null = reduce(lambda x, y: x | y, [F.col(f"`{k}`").isNull() for k in keys])
+            apart = F.array(*[F.lit(side) for side in windows])
+            both = both.withColumn("__side", F.explode(F.when(null & present["current"] & present["prior"], apart).otherwise(F.array(F.lit("both")))))
+            # A window without rows of a key has no value there, not a count of 0.
+            both = both.withColumns({f"{m}_{side}": F.when(present[side] & F.col("__side").isin("both", side), F.col(f"`{m}_{side}`")) for m in measures for side in windows})
+        columns = [F.col(f"`{k}`") for k in keys]
         for m in measures:
             current, prior = F.col(f"`{m}_current`"), F.col(f"`{m}_prior`")
             columns += [current, prior, (F.coalesce(current, F.lit(0)) - F.coalesce(prior, F.lit(0))).alias(f"{m}_delta"), F.when(prior > 0, (current - prior) * 100.0 / prior).alias(f"{m}_pct_change")]

@@ -12,14 +12,16 @@ from cubeloom.model import QUANTILES, Cube, Measure
 from cubeloom.operators.fragments import column
 
 
-def measure_column(cube: Cube, m: Measure, cubes: Mapping[str, Cube], context: Mapping[str, Any]) -> Column:
-    """The aggregate of a measure; its own filter decides which rows count, a ratio guards its divisor."""
+def measure_column(cube: Cube, m: Measure, cubes: Mapping[str, Cube], context: Mapping[str, Any], within: Column | None = None) -> Column:
+    """The aggregate of a measure; its own filter and ``within`` decide which rows count, a ratio guards its divisor."""
     if m.agg == "ratio":
-        top, bottom = (measure_column(cube, cube.get(x), cubes, context) for x in (m.numerator, m.denominator))
+        top, bottom = (measure_column(cube, cube.get(x), cubes, context, within) for x in (m.numerator, m.denominator))
         return ratio(top, bottom)
+    value = measure_value(m, cubes, context)
+    value = value if within is None else F.when(within, value)
     if m.metadata.get("zero"):  # a stored count, summed without groups
-        return F.coalesce(F.sum(column(m.sql, cubes, context)), F.lit(0))
-    return aggregate(m.agg, measure_value(m, cubes, context))
+        return F.coalesce(F.sum(value), F.lit(0))
+    return aggregate(m.agg, value)
 
 
 def measure_value(m: Measure, cubes: Mapping[str, Cube], context: Mapping[str, Any]) -> Column:

@@ -293,6 +293,25 @@ def test_comparison_keeps_raw_values_and_guards_change(spark, ev):
     assert (r["value_current"], r["value_prior"], r["value_delta"], r["value_pct_change"]) == (12.0, 3.0, 9.0, 300.0)
 
 
+def test_comparison_scans_once_and_leaves_null_keys_apart(spark):
+    rows = [(None, 1.0, "2024-01-02"), (None, 5.0, "2024-01-09"), ("a", 2.0, "2024-01-02"), ("a", 4.0, "2024-01-09"), ("b", 8.0, "2024-01-03"), ("c", 9.0, "2024-01-10"), ("d", 7.0, "2023-06-01")]
+    frame = spark.createDataFrame(rows, "kind string, value double, at string").selectExpr("kind", "value", "cast(at as timestamp_ntz) as ts")
+    cube = event_cube(measures=[Measure(name="n", sql="*", agg="count"), Measure(name="value", sql="{v}.value", agg="sum"), Measure(name="median", sql="{v}.value", agg="median"), Measure(name="p90", sql="{v}.value", agg="p90")])
+    e = Engine(spark, Catalog([cube]), main=Frames({"ev": frame}))
+    df = e.query(q(measures=["ev.n", "ev.value", "ev.median", "ev.p90"], dimensions=["ev.kind"], time_dimension=window("2024-01-08", "2024-01-15"), compare=CompareWindow()))
+    got = {tuple(r[c] for c in ("kind", "n_current", "n_prior", "value_current", "value_prior", "median_current", "median_prior", "value_delta")) for r in df.collect()}
+    assert got == {
+        (None, 1, None, 5.0, None, 5.0, None, 5.0),
+        (None, None, 1, None, 1.0, None, 1.0, -1.0),
+        ("a", 1, 1, 4.0, 2.0, 4.0, 2.0, 2.0),
+        ("b", None, 1, None, 8.0, None, 8.0, -8.0),
+        ("c", 1, None, 9.0, None, 9.0, None, 9.0),
+    }
+    whole = e.query(q(measures=["ev.n", "ev.value"], time_dimension=window("2025-01-08", "2025-01-15"), compare=CompareWindow())).first()
+    assert (whole["n_current"], whole["n_prior"], whole["value_current"], whole["value_delta"]) == (0, 0, None, 0.0)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
 def test_rollup_is_taken_only_where_it_answers(spark, ev):
     daily = ev.groupBy("kind", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts_day")).agg(F.count("*").alias("n"), F.sum("value").alias("value"))
     cube = event_cube(rollups=[Rollup(name="daily", physical_table="daily", dimensions=("kind",), measures=("n", "value"), time_dimension="ts", granularity="day")])
