@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict
+from functools import partial
 from typing import Any
 
-from cubeloom import federation, sqlfront
+from cubeloom import entities, federation, sqlfront
 from cubeloom.engine import Engine
 from cubeloom.errors import EngineError
 from cubeloom.functions import lookups
-from cubeloom.model import AuthContext
-from cubeloom.query import from_dict
+from cubeloom.model import META, AuthContext
+from cubeloom.mutate import CompiledMutation, Mutation, compile_mutation
+from cubeloom.query import Filter, from_dict
 from cubeloom.tools import charts, describe, search
 from cubeloom.tools.validate import validate
 
 
 class Toolset:
-    """Tools bound to an engine and a viewer; refusals come back as payloads, not exceptions."""
+    """Tools bound to an engine and a viewer; refusals come back as payloads, not exceptions.
 
-    def __init__(self, engine: Engine, viewer: AuthContext | None = None, max_rows: int = 1000):
-        self.engine, self.viewer, self.max_rows = engine, viewer, max_rows
+    Besides the general tools there is ``query_<cube>`` for each cube that the viewer sees, and those for
+    entities where the catalog has some. ``write`` does what a compiled write says and returns how many
+    rows it touched; without it writes can only be previewed.
+    """
+
+    def __init__(self, engine: Engine, viewer: AuthContext | None = None, max_rows: int = 1000, write: Callable[[CompiledMutation], int] | None = None):
+        self.engine, self.viewer, self.max_rows, self.write = engine, viewer, max_rows, write
         self.tools: dict[str, Callable[..., Any]] = {
             "describe_catalog": self.describe_catalog,
             "search_catalog": self.search_catalog,
@@ -31,6 +38,15 @@ class Toolset:
             "resolve_value": self.resolve_value,
             "explain_query": self.explain_query,
         }
+        for cube in engine.catalog.visible(viewer).values():
+            if cube.backend != META:
+                self.tools[f"query_{cube.name}"] = partial(self._query_cube, cube.name)
+        if engine.catalog.entities:
+            self.tools |= {"get_entity": self.get_entity, "list_entity": self.list_entity}
+        if engine.catalog.allow_mutations:
+            self.tools["preview_write"] = self.preview_write
+            if write is not None:
+                self.tools["write_entity"] = self.write_entity
 
     def call(self, name: str, arguments: Mapping[str, Any]) -> dict[str, Any]:
         if name not in self.tools:
@@ -71,3 +87,39 @@ class Toolset:
 
     def explain_query(self, query: Mapping[str, Any]) -> str:
         return self.engine.explain(from_dict(query), self.viewer).describe()
+
+    def _query_cube(self, cube: str, measures: Sequence[str] = (), dimensions: Sequence[str] = (), filters: Sequence[Mapping[str, Any]] = (), limit: int | None = None) -> dict[str, Any]:
+        """A query of one cube, whose fields are named without it."""
+
+        def full(name: str) -> str:
+            return name if "." in name else f"{cube}.{name}"
+
+        data = {"measures": tuple(map(full, measures)), "dimensions": tuple(map(full, dimensions)), "filters": [{**f, "dimension": full(f["dimension"])} for f in filters], "limit": limit}
+        return self.run_query(data)
+
+    def get_entity(self, entity: str, key: Any) -> dict[str, Any] | None:
+        rows = entities.fetch(self.engine, entity, key, viewer=self.viewer).rows()
+        return rows[0] if rows else None
+
+    def list_entity(self, entity: str, filters: Sequence[Mapping[str, Any]] = (), order: str | None = None, limit: int = 100, cursor: str | None = None) -> dict[str, Any]:
+        """A page of rows; ``next_cursor`` is null once a page is not full."""
+        spec = entities.ListSpec(entity=entity, filters=tuple(Filter(**f) for f in filters), order=order, limit=limit, cursor=cursor)
+        rows = entities.list_rows(self.engine, spec, viewer=self.viewer).rows()
+        following = entities.next_page(spec, self.engine.catalog, rows[-1]).cursor if len(rows) == limit else None
+        return {"rows": rows, "next_cursor": following}
+
+    def _compiled_write(self, entity: str, operation: str, values: Mapping[str, Any] | None, key: Any, filters: Sequence[Mapping[str, Any]]) -> CompiledMutation:
+        wanted = Mutation(entity=entity, operation=operation, values=values, key=key, filters=tuple(Filter(**f) for f in filters))
+        return compile_mutation(self.engine, wanted, viewer=self.viewer)
+
+    def preview_write(self, entity: str, operation: str, values: Mapping[str, Any] | None = None, key: Any = None, filters: Sequence[Mapping[str, Any]] = ()) -> dict[str, Any]:
+        """The rows that a write would touch, as they are; refused above the catalog's cap."""
+        compiled = self._compiled_write(entity, operation, values, key, filters)
+        compiled.affected()
+        rows = [r.asDict() for r in compiled.preview.collect()]  # no more than the cap
+        return {"affected": len(rows), "rows": rows}
+
+    def write_entity(self, entity: str, operation: str, values: Mapping[str, Any] | None = None, key: Any = None, filters: Sequence[Mapping[str, Any]] = ()) -> dict[str, Any]:
+        compiled = self._compiled_write(entity, operation, values, key, filters)
+        compiled.affected()
+        return {"affected": self.write(compiled)}

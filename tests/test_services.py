@@ -179,6 +179,27 @@ def test_toolset(spark):
     assert tools.call("search_catalog", {"text": "status"})["result"][0]["ref"] == "orders.status"
 
 
+def test_tools_for_cubes_entities_and_writes(spark):
+    done = []
+    tools = Toolset(make(spark), ACME, write=lambda c: done.append(c.after.count()) or 1)
+    assert tools.call("query_orders", {"measures": ["n"], "filters": [{"dimension": "status", "op": "eq", "values": ("open",)}]})["result"]["rows"] == [{"n": 2}]
+    assert tools.call("get_entity", {"entity": "order", "key": 1})["result"] == {"id": 1, "region": "us", "status": "open"}
+    assert tools.call("get_entity", {"entity": "order", "key": 3})["result"] is None  # another tenant's
+    seen, cursor = [], None
+    while True:
+        page = tools.call("list_entity", {"entity": "order", "limit": 3, "cursor": cursor})["result"]
+        seen += [r["id"] for r in page["rows"]]
+        cursor = page["next_cursor"]
+        if cursor is None:
+            break
+    assert seen == [1, 4, 2, 5]
+    assert tools.call("preview_write", {"entity": "order", "operation": "delete", "key": 4})["result"] == {"affected": 1, "rows": [{"id": 4, "region": "us", "status": "closed", "org_id": "acme"}]}
+    assert tools.call("preview_write", {"entity": "order", "operation": "delete", "key": 3})["result"]["affected"] == 0
+    assert tools.call("write_entity", {"entity": "order", "operation": "delete", "key": 4})["result"] == {"affected": 1} and done == [4]
+    assert tools.call("write_entity", {"entity": "order", "operation": "update", "key": 4, "values": {"id": 9}})["error"]["code"] == "MutationError"
+    assert "write_entity" not in Toolset(make(spark), ACME).tools
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no test data")
 def test_every_query_agrees_with_its_sql(spark):
     import duckdb
