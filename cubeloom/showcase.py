@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from cubeloom import entities, federation, sqlfront
 from cubeloom.catalog import Catalog
 from cubeloom.engine import Engine
-from cubeloom.functions.lookups import enrich
+from cubeloom.errors import EngineError
+from cubeloom.execution import ResultCache, Runner
+from cubeloom.functions.lookups import enrich, resolve_filters
 from cubeloom.functions.units import Units
-from cubeloom.model import META, AuthContext, Cube, DerivedTable, Dimension, Entity, Join, Lookup, Measure, NamedCTE, Rollup, ScopePredicate, Segment, TimeDimension, TimePartition, TimePartitionedSource, View
+from cubeloom.model import META, AuthContext, Cube, DerivedTable, Dimension, Entity, Join, Lookup, Measure, MutableEntity, MutableField, NamedCTE, Rollup, ScopePredicate, Segment, TimeDimension, TimePartition, TimePartitionedSource, View
+from cubeloom.mutate import Mutation, compile_mutation
 from cubeloom.query import BoolExpr, CompareWindow, Filter, InlineDerived, SavedQuery, SemanticQuery, SemiJoin, TimeWindow
 from cubeloom.sources import Files, Sources
-from cubeloom.tools import rewrite
+from cubeloom.tools import hooks, rewrite
 
 DECIMALS = 4
 #: A rollup and a partition of events are made once per session and folder.
@@ -317,9 +320,91 @@ def cases() -> dict[str, tuple[Callable[[Engine], DataFrame], str | None]]:
     add("sql_front_end", lambda e: e.query(sqlfront.parse_sql(text, e.catalog)), f"SELECT c_mktsegment AS segment, {r('sum(o_totalprice)')} AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F' AND o_orderdate >= '1996-01-01' AND o_orderdate < '1998-01-01' GROUP BY 1 ORDER BY 2 DESC LIMIT 10")
     add("one_to_one_join", q(measures=["labels.label_count", "documents.chars"], dimensions=["documents.lang", "labels.toxic"]), "SELECT lang, toxic, count(*) AS label_count, sum(n_chars)::BIGINT AS chars FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY 1, 2")
     add("simple_count", q(measures=["conversations.turn_count"], dimensions=["conversations.role"]), "SELECT role, count(*) AS turn_count FROM conversations GROUP BY 1")
+    add("compare_two_keys", q(measures=["events.event_count", "events.users"], dimensions=["events.event_type", "events.user_id"], time_dimension=_window("events.ts", "2024-01-15", "2024-01-17"), compare=CompareWindow()), _compared_users())
+    by_day = q(measures=["events.event_count"], dimensions=["events.event_type"], time_dimension=_window("events.ts", *JAN, "day"), order=[("event_count", "desc"), ("events.event_type", "asc")], limit=3)
+    add("grain_collapse", lambda e: e.query(federation.collapse_grain(by_day)), "SELECT event_type, count(*) AS event_count FROM events WHERE ts >= '2024-01-01' AND ts < '2024-02-01' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
+    largest = q(dimensions=["orders.orderkey"], order=[("orders.total", "desc"), ("orders.orderkey", "asc")], limit=500)
+    add("row_cap", lambda e: hooks.RowCap(40).rewrite(e.query(largest), largest, None), "SELECT o_orderkey AS orderkey FROM orders GROUP BY 1 ORDER BY sum(o_totalprice) DESC, 1 LIMIT 40")
+    spelled = q(measures=["orders.order_count"], dimensions=["orders.priority"], filters=[f("orders.status", "in", "Filled", "pending")])
+    add("resolve_filter_values", lambda e: e.query(resolve_filters(spelled, e.catalog)[0]), "SELECT o_orderpriority AS priority, count(*) AS order_count FROM orders WHERE o_orderstatus IN ('F', 'P') GROUP BY 1")
+    add("result_cache", _answered_twice, "SELECT o_orderstatus AS status, count(*) AS order_count, true AS cached FROM orders GROUP BY 1")
+    written = "SELECT o_orderkey, o_custkey, {} AS o_orderstatus, {} AS o_orderpriority FROM orders"
+    urgent = (f("orders.status", "eq", "F"), f("orders.priority", "in", "4-NOT SPECIFIED", "5-LOW"))
+    add("write_update", _writes(operation="update", filters=urgent, values={"priority": "1-URGENT"}), written.format("o_orderstatus", "CASE WHEN o_orderstatus = 'F' AND o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW') THEN '1-URGENT' ELSE o_orderpriority END"))
+    add("write_delete", _writes(operation="delete", filters=(f("orders.status", "eq", "P"),)), written.format("o_orderstatus", "o_orderpriority") + " WHERE o_orderstatus <> 'P'")
+    add("write_upsert", _writes(operation="upsert", values={"orderkey": 7, "status": "P"}), written.format("CASE WHEN o_orderkey = 7 THEN 'P' ELSE o_orderstatus END", "o_orderpriority"))
+    add("write_insert", _writes(operation="insert", values={"orderkey": -1, "status": "O"}), written.format("o_orderstatus", "o_orderpriority") + " UNION ALL SELECT -1, NULL, 'O', NULL")
+    add("write_preview", _writes(after=False, operation="delete", filters=(f("orders.status", "eq", "P"),)), written.format("o_orderstatus", "o_orderpriority") + " WHERE o_orderstatus = 'P'")
+    expected = ", ".join(f"('{case}', '{reason}')" for case, (reason, _) in _refused().items())
+    add("refusals", _refusals, f"SELECT * FROM (VALUES {expected}) AS t(\"case\", reason)")
     return out
 
 
+def _compared_users() -> str:
+    part = "SELECT event_type AS k, user_id AS u, count(*) AS n, count(DISTINCT user_id) AS v FROM events WHERE ts >= '{}' AND ts < '{}' GROUP BY 1, 2"
+    a, b = part.format("2024-01-15", "2024-01-17"), part.format("2024-01-13", "2024-01-15")
+    columns = [f"a.{c} AS {m}_current, b.{c} AS {m}_prior, coalesce(a.{c}, 0) - coalesce(b.{c}, 0) AS {m}_delta, round(CASE WHEN b.{c} > 0 THEN (a.{c} - b.{c}) * 100.0 / b.{c} END, {DECIMALS}) AS {m}_pct_change" for c, m in (("n", "event_count"), ("v", "users"))]
+    return f"SELECT coalesce(a.k, b.k) AS event_type, coalesce(a.u, b.u) AS user_id, {', '.join(columns)} FROM ({a}) a FULL JOIN ({b}) b ON a.k = b.k AND a.u = b.u"
+
+
+def _answered_twice(e: Engine) -> DataFrame:
+    """The second answer of a runner to one query, of three rows, and whether it came from its cache."""
+    runner = Runner(e, cache=ResultCache(size=4))
+    asked = q(measures=["orders.order_count"], dimensions=["orders.status"])
+    runner.run(asked)
+    again = runner.run(asked)
+    return e.spark.createDataFrame([(*r, again.cached) for r in again.rows], "status string, order_count long, cached boolean")
+
+
+def _writes(after: bool = True, **what) -> Callable[[Engine], DataFrame]:
+    """The table of orders once a write is done, or the rows that it touches."""
+
+    def run(e: Engine) -> DataFrame:
+        texts = {name: MutableField(type="string") for name in ("status", "priority")}
+        entity = MutableEntity(
+            name="order",
+            cubes=("orders",),
+            key="orders.orderkey",
+            list_filters=("orders.status", "orders.priority"),
+            target_cube="orders",
+            operations=frozenset({"insert", "update", "delete", "upsert"}),
+            mutable_fields={"orderkey": MutableField(type="number", immutable=True, required=True), **texts},
+            predicate_targeting=True,
+        )
+        writable = Engine(e.spark, Catalog([e.catalog.cubes[c] for c in ("orders", "customer", "nation", "cust_nation")], entities=[entity], allow_mutations=True), e.sources)
+        done = compile_mutation(writable, Mutation(entity="order", **what))
+        return (done.after if after else done.preview).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+
+    return run
+
+
+def _refused() -> dict[str, tuple[str, Callable[[Engine], object]]]:
+    """What the engine must refuse, by case: the reason, and the question."""
+    return {
+        "fan_out": ("FanOutError", lambda e: e.query(q(measures=["orders.total"], dimensions=["lineitem.returnflag"]))),
+        "chasm": ("FanOutError", lambda e: e.query(q(measures=["lineitem.revenue", "customer.acctbal"], dimensions=["nation.name"]))),
+        "no_path": ("JoinPathError", lambda e: e.query(q(measures=["lineitem.revenue"], dimensions=["conversations.role"]))),
+        "value_type": ("FilterTypeError", lambda e: e.query(q(measures=["orders.total"], filters=[f("orders.custkey", "eq", "many")]))),
+        "unknown_field": ("UnknownIdentifierError", lambda e: e.query(q(measures=["orders.totals"]))),
+        "reversed_window": ("CompileError", lambda e: _window("events.ts", "2024-02-01", "2024-01-01")),
+        "two_sources": ("CrossSourceError", lambda e: e.query(q(measures=["local_orders.amount"], dimensions=["remote_customer.segment"]))),
+        "quantile_of_parts": ("FederationError", lambda e: federation.compile_federated(e, q(measures=["local_orders.p90"], dimensions=["remote_customer.segment"]))),
+        "no_tenant": ("AuthError", lambda e: e.query(q(measures=["tenant_orders.tenant_count"]))),
+        "read_only_entity": ("MutationError", lambda e: compile_mutation(e, Mutation(entity="order", operation="delete", key=7))),
+    }
+
+
+def _refusals(e: Engine) -> DataFrame:
+    rows = []
+    for case, (_, ask) in _refused().items():
+        try:
+            ask(e)
+            rows.append((case, "answered"))
+        except EngineError as refusal:
+            rows.append((case, type(refusal).__name__))
+    return e.spark.createDataFrame(rows, "case string, reason string")
+
+
 def _compared_buckets() -> str:
     part = "SELECT date_trunc('day', ts)::TIMESTAMP AS k, count(*) AS v FROM events WHERE ts >= '{}' AND ts < '{}' GROUP BY 1"
     a, b = part.format("2024-01-08", "2024-01-15"), part.format("2024-01-12", "2024-01-19")
