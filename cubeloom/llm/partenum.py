@@ -81,41 +81,65 @@ def extra(n: int) -> int:
     return int(EXTRA * n)
 
 
-def band_signatures(shingles: np.ndarray, band: int) -> tuple[np.ndarray, int]:
-    """A set's signatures in a band, and how many of the most frequent it may drop."""
-    n, parts = len(shingles), np.uint64(partitions_of(band))
-    differ = n // 3
-    part = (shingles >> np.uint64(8)) % parts
+def parts_of_set(shingles: np.ndarray, band: int) -> np.ndarray:
+    """The partition of each element; small numbers, so that they sort fast."""
+    parts = partitions_of(band)
+    return ((shingles >> np.uint64(8)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+
+
+def droppable_of(n: int, projections: int) -> int:
+    """How many of the most frequent signatures a set of ``n`` elements with so many projections may drop."""
+    needed = n // 3 + 1
+    if projections < needed:
+        return 0
+    return max(0, min(projections, needed + extra(n)) - (needed + extra(n) - extra(-(-3 * n // 4))))
+
+
+def band_signatures(shingles: np.ndarray, band: int) -> np.ndarray:
+    """A set's signatures in a band."""
+    n = len(shingles)
+    part = parts_of_set(shingles, band)
     order = np.argsort(part, kind="stable")
-    part, values = part[order], mix(shingles[order] + np.uint64(band + 1))
+    part, values = part[order].astype(np.uint64), mix(shingles[order] + np.uint64(band + 1))
     first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     sums = np.add.reduceat(values, first)
     tokens = mix(sums + mix(part[first] + np.uint64(1 + (band << 40))))
-    droppable = 0
-    if len(tokens) > differ:
-        tokens = tokens[: differ + 1 + extra(n)]
-        keep = differ + 1 + extra(n) - extra(-(-3 * n // 4))
-        droppable = max(0, len(tokens) - keep)
+    if len(tokens) > n // 3:
+        tokens = tokens[: n // 3 + 1 + extra(n)]
     else:
         tokens = np.concatenate([tokens, mix(shingles + mix(np.uint64([band + 1]) << np.uint64(48)))])
     low = np.uint64((1 << _BAND_BITS) - 1)
-    return (tokens & ~low) | np.uint64(band), droppable
+    return (tokens & ~low) | np.uint64(band)
 
 
-def signatures(shingles: np.ndarray) -> tuple[np.ndarray, int, int]:
-    """All signatures of a set, the droppable ones of its own band and of the next one.
+def bands_of(n: int) -> list[int]:
+    """The bands whose signatures a set emits: its own, and the next one if a similar set may be there.
 
     Sets of one or two elements are similar to equal sets only and emit none.
     """
-    n = len(shingles)
     if n < 3:
-        return np.zeros(0, np.int64), 0, 0
+        return []
     band = band_of(n)
-    own, drop = band_signatures(shingles, band)
-    if 4 * n < 3 * BAND_RATIO ** (band + 1):
-        return own.view(np.int64), drop, 0
-    above, drop_above = band_signatures(shingles, band + 1)
-    return np.concatenate([own, above]).view(np.int64), drop, drop_above
+    return [band] if 4 * n < 3 * BAND_RATIO ** (band + 1) else [band, band + 1]
+
+
+def tokens_of(shingles: np.ndarray) -> np.ndarray:
+    """All signatures of a set."""
+    found = [band_signatures(shingles, band) for band in bands_of(len(shingles))]
+    return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+
+
+def droppable(shingles: np.ndarray) -> tuple[int, int]:
+    """The droppable signatures of a set's own band and of the next one, counted without making them."""
+    n = len(shingles)
+    counts = [droppable_of(n, np.count_nonzero(np.bincount(parts_of_set(shingles, band)))) for band in bands_of(n)]
+    own, above, *_ = [*counts, 0, 0]
+    return own, above
+
+
+def signatures(shingles: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """All signatures of a set, the droppable ones of its own band and of the next one."""
+    return tokens_of(shingles), *droppable(shingles)
 
 
 _SETS = "doc_id long, n_shingles long, node long, drop_own int, drop_above int, sampled array<long>"
@@ -128,12 +152,12 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for cell in batch.column(1):
             s = shingle_set(cell.as_py())
-            tokens, drop, above = signatures(s)
             node = set_id(s)
-            sampled = node % SAMPLE == 0 and node not in seen and len(tokens) > 0
+            sampled = node % SAMPLE == 0 and node not in seen and len(s) >= 3
             if sampled:
                 seen.add(node)
-            rows.append((len(s), node, drop, above, tokens if sampled else None))
+            tokens, own, above = signatures(s) if sampled else (None, *droppable(s))
+            rows.append((len(s), node, own, above, tokens))
         columns = zip(*rows, strict=True) if rows else [()] * 5
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [c.split()[0] for c in _SETS.split(", ")])
@@ -151,7 +175,7 @@ def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(seen) < 1_000_000:
                     seen.add(node)
                 nodes.append(node)
-                tokens.append(signatures(s)[0])
+                tokens.append(tokens_of(s))
             if len(nodes) >= 2000:
                 yield _token_batch(nodes, tokens)
                 nodes, tokens = [], []
